@@ -65,6 +65,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup
+
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.selectExpr("doc_id", "_removed AS n_removed", "_left AS n_left", "_sources AS kept_in", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
