@@ -19,6 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -99,3 +100,105 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     per_fp = stored(rooted.join(ids, "root").select("fp", "component_id", "n"), "components")
     joined = join_by_key(marked, per_fp, "fp", "n")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Grouping at a given shingle similarity.  At 0.8 (five words) two fingerprints
+# differ in about 15 % of their bits, which needs longer fingerprints and
+# blocks that are tried by chance instead of the two-bit guarantee above.
+
+WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
+WIDE_BLOCK = 16
+WIDE_RADIUS = 40  # of 256 bits: the expected difference at a similarity of 0.8
+LENGTH_STEP = 0.8
+
+
+def wide_fingerprint(text: bytes, width: int) -> tuple[np.ndarray, int]:
+    """(four 64-bit words, number of words): every shingle hash is mixed into four."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(WIDE_WORDS, np.int64), 0
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(len(words) - width + 1, 1)
+    last = ends[min(width, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, n, _CHUNK):
+        spans = zip(starts[at : min(at + _CHUNK, n)].tolist(), last[at : min(at + _CHUNK, n)].tolist(), strict=True)
+        h = np.unique(np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64))
+        wide = np.empty((len(h), WIDE_WORDS), "<u8")
+        for k in range(WIDE_WORDS):
+            m = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
+            m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            wide[:, k] = m ^ (m >> np.uint64(31))
+        ones += 2 * np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(h)
+    return np.packbits(ones > 0, bitorder="little").view("<i8"), len(words)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, component_id, n_words) of documents in groups of similar texts.
+
+    Fingerprints of 256 bits are filed by each of their 16 blocks together
+    with a length class (and the next one, as similar texts have similar
+    lengths).  In a file, members are compared with its leaders only: the
+    members that no earlier leader was near.  So a group of copies costs a
+    comparison a member.  Documents without words are in no group.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [f"f{k}" for k in range(WIDE_WORDS)]
+
+    def mark(batches):
+        for batch in batches:
+            got = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
+            fps = np.stack([g[0] for g in got]) if got else np.zeros((0, WIDE_WORDS), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE_WORDS)), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", *names, "n_words"])
+
+    marked = docs.select("doc_id", text_bytes().alias("_bytes")).mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names) + ", n_words long")
+    marked = stored(marked.withColumn("k", F.struct(*names)), "wide_fingerprints")
+    distinct = marked.filter("n_words > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("n_words").alias("n_words"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "k", "first", "n", "n_words"), "wide_distinct")
+    step = F.floor(F.log("n_words") / F.log(F.lit(1 / LENGTH_STEP))).cast("int")
+    files = []
+    for t in range(64 * WIDE_WORDS // WIDE_BLOCK):
+        word, shift = divmod(t * WIDE_BLOCK, 64)
+        block = F.shiftrightunsigned(F.col(f"k.f{word}"), shift).bitwiseAND(F.lit((1 << WIDE_BLOCK) - 1).cast("long"))
+        files += [F.xxhash64(F.lit(t), block, step + more) for more in (0, 1)]
+    rows = distinct.select("id", *[F.col(f"k.{c}").alias(c) for c in names], F.explode(F.array(*files)).alias("file"))
+
+    def lead(frames):
+        """Runs of one file, in order; a file's leaders are carried over batch borders."""
+        now, leaders, ids = None, np.zeros((0, WIDE_WORDS), np.uint64), []
+        for pdf in frames:
+            out_u, out_v = [], []
+            file, own, fp = pdf["file"].to_numpy(), pdf["id"].to_numpy(), pdf[names].to_numpy().view(np.uint64)
+            border = np.flatnonzero(np.diff(file)) + 1
+            for s, e in zip(np.concatenate([[0], border]), np.concatenate([border, [len(file)]]), strict=True):
+                if s == e:
+                    continue
+                if file[s] != now:
+                    now, leaders, ids = file[s], np.zeros((0, WIDE_WORDS), np.uint64), np.zeros(0, np.int64)
+                    if e - s == 1 and e < len(file):
+                        continue
+                for j in range(s, e):
+                    near = np.bitwise_count(leaders ^ fp[j]).sum(1) <= radius
+                    if near.any():
+                        out_u += [own[j]] * int(near.sum())
+                        out_v += ids[near].tolist()
+                    else:
+                        leaders, ids = np.concatenate([leaders, fp[j : j + 1]]), np.append(ids, own[j])
+            yield pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
+
+    edges = rows.repartition("file").sortWithinPartitions("file", "id").mapInPandas(lead, "u long, v long").distinct()
+    member = components(edges)
+    rooted = distinct.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    per_fp = stored(rooted.join(firsts, "root").select("k", "component_id", "n"), "wide_components")
+    return join_by_key(marked.filter("n_words > 0").select("doc_id", "k", "n_words"), per_fp, "k", "n").select("doc_id", "component_id", "n_words")
+
+
+def keep_first(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of similar texts: the one with the smallest doc_id."""
+    drop = similar_groups(docs, width, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
