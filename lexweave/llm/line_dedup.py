@@ -6,8 +6,8 @@ collapsed first.  A line is cut into EDITS + 1 segments; two lines within EDITS
 edits share at least one of them unchanged, at a place that the length
 difference bounds.  So every line is indexed under (length, segment number,
 segment) and probes the indexes of its own and of up to EDITS smaller lengths
-at those places only.  Pairs that meet must agree on the counts of eight
-groups of letters up to 2 * EDITS (inside the join, so a busy segment makes no
+at those places only.  Pairs that meet must agree on the counts of nine
+characters up to 2 * EDITS (inside the join, so a busy segment makes no
 rows), and are verified by a banded bit-parallel edit distance.  Linked lines
 form classes; of each class the first line stays, in the document with the
 smallest id, at its first place there.
@@ -28,8 +28,8 @@ from .graph import components
 
 MIN_CHARS = 20
 EDITS = 2
-#: Groups of letters whose counts are compared before verification.
-LETTERS = ("eéè", "tñ", "aäí", "oóö", "inç", "srß", "hlü", "du.")
+#: Characters whose counts are compared before verification.
+LETTERS = "etaniors "
 _BUCKETS = 1 << 20
 
 
@@ -93,32 +93,38 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """0-based start and size of a segment: the last ``length mod parts`` segments are one longer."""
-    size, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    start = size * (number - 1) + F.greatest(F.lit(0), longer - (parts - number + 1))
-    return start, size + F.when(longer >= parts - number + 1, 1).otherwise(0)
+def measured(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``len`` and the packed counts of ``LETTERS``, so that neither is computed twice."""
+    length = F.length("line")
+    counts = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        n = F.col("len") - F.length(F.replace(F.col("line"), F.lit(letter), F.lit("")))
+        counts = counts + F.shiftleft(F.pmod(n, F.lit(128)).cast("long"), 7 * k)
+    return lines.withColumn("len", length).withColumn("counts", counts)
 
 
 def segment_rows(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """Index rows and probe rows (key, id, counts) of distinct lines (id, line)."""
-    length, parts = F.length("line"), edits + 1
+    """Index rows and probe rows (key, id, counts) of measured distinct lines (id, line, len, counts)."""
+    parts = edits + 1
     index, probe = [], []
     for shorter in range(edits + 1):
-        own = length - shorter
         for number in range(1, parts + 1):
-            start, size = _segment(own, number, parts)
             for shift in range(max(1 - number, shorter - (parts - number)), min(number - 1, shorter + parts - number) + 1):
-                key = F.xxhash64(own, F.lit(number), F.substring(F.col("line"), start + shift + 1, size))
-                probe.append(key)
+                probe.append((shorter, number, shift))
                 if shorter == 0 and shift == 0:
-                    index.append(key)
-    counts = F.lit(0).cast("long")
-    for k, group in enumerate(LETTERS):
-        n = F.length("line") - F.length(F.translate("line", group, ""))
-        counts = counts + F.shiftleft(F.pmod(n, F.lit(128)).cast("long"), 7 * k)
-    based = lines.select("id", "line", counts.alias("counts"))
-    return tuple(based.select(F.explode(F.array(*keys)).alias("key"), "id", "counts") for keys in (index, probe))
+                    index.append((shorter, number, shift))
+    # One small expression over a literal list: a key apiece would make a method too large to be compiled.
+    own = F.col("len") - F.col("p.shorter")
+    size, longer, number = (own / parts).cast("int"), own % parts, F.col("p.number")
+    start = size * (number - 1) + F.greatest(F.lit(0), longer - (parts + 1 - number)) + F.col("p.shift")
+    length = size + F.when(longer >= parts + 1 - number, 1).otherwise(0)
+    key = F.xxhash64(own, number, F.substring(F.col("line"), start + 1, length)).alias("key")
+
+    def keyed(places):
+        listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("shorter", "number", "shift"), strict=True)]) for place in places])
+        return lines.select("id", "counts", "line", "len", F.explode(listed).alias("p")).select(key, "id", "counts")
+
+    return keyed(index), keyed(probe)
 
 
 def _apart() -> Column:
@@ -132,7 +138,7 @@ def _apart() -> Column:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Edges (u, v) between the ids of distinct lines (id, line) within ``edits`` edits."""
+    """Edges (u, v) between the ids of measured distinct lines within ``edits`` edits."""
     index, probe = segment_rows(lines, edits)
     a, b = index.alias("a"), probe.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (_apart() <= 2 * edits))
@@ -152,8 +158,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(k, first_doc, root, n) for every distinct line that isn't alone in its class; k is the line's 128-bit hash."""
     distinct = _lines(docs).groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
     distinct = distinct.select(F.monotonically_increasing_id().alias("id"), "line", "first_doc", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    distinct = stored(distinct, "lines")
-    member = stored(components(line_links(distinct.select("id", "line"), edits)), "line_components")
+    distinct = stored(measured(distinct), "lines")
+    member = stored(components(line_links(distinct.select("id", "line", "len", "counts"), edits)), "line_components")
     facts = distinct.select("id", "first_doc", "n", F.struct("h1", "h2").alias("k"))
     rooted = facts.join(member.withColumnRenamed("node", "id"), "id", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("_first"))
