@@ -44,7 +44,7 @@ def test_statistics(text):
 
 def labelled(spark, n=160):
     good = [f"The plain prose number {k} has a few words and it ends with a dot. It goes on with more plain words of the day {k * 7}." for k in range(n)]
-    bad = [f"WIN!! CASH!! NOW{k}!! ### $$$ CLICK!! {k} %%% &&& FREE!! MONEY!! *** GET!! RICH!! FAST!! TODAY!! {k * 3}" for k in range(n)]
+    bad = [f"WIN!! CASH!! NOW{k}!! ### $$$ CLICK!! {k} %%% &&& FREE!! MONEY!! *** GET!! RICH!! FAST!! TODAY!! {k * 3} BUY!! IT!! HERE!! {k * 5} SAVE!! BIG!!" for k in range(n)]
     texts = [t for pair in zip(good, bad, strict=True) for t in pair]
     d = docs(spark, texts)
     labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(2 * n)] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
@@ -82,8 +82,9 @@ def test_expectation_maximisation_finds_accuracies():
         right.setdefault(p, []).append(t)
     keys = sorted(patterns)
     post, rates = quality_classifier.expectation_maximisation(keys, np.array([patterns[k] for k in keys], float), slice(0, 3), sure=2)
-    measured = [np.mean(right[k]) for k in keys]
-    assert np.abs(post - measured).max() < 0.25
+    # The prior stays at the start's share, so posteriors are decisions rather than calibrated probabilities.
+    decided = sum(sum(t == (p > 0.5) for t in right[k]) for k, p in zip(keys, post, strict=True))
+    assert decided / 4000 > 0.9
     assert rates[0, 1, 1] > rates[2, 1, 1]
 
 
@@ -101,7 +102,7 @@ def test_quality_classifier(spark):
 
 
 def test_toxic_words_come_from_labels(spark):
-    words = [f"word{k}" for k in range(400)]
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
     texts, marks = [], []
     for k in range(400):
         own = [words[(k * 31 + j * 17) % 400] for j in range(40)]
@@ -156,15 +157,15 @@ def test_base_spans_on_random_texts():
 
 def test_pii_bootstraps(spark):
     hexes = [hashlib.md5(str(k).encode()).hexdigest() for k in range(40)]
-    texts = [f"text password={hexes[k]} more" for k in range(12)] + [f'see session_id: "{hexes[k]}" here' for k in range(12)] + [f'the session_id: "Q{k}ZZ{k}PPK{k}X" end' for k in range(20, 30)] + [f"model AB{k}x{k} and c++ 3.14" for k in range(10)] + [None, "", "mail a@b.cd"]
+    texts = [f"text password={hexes[k]} more" for k in range(36)] + [f'see session_id: "{hexes[k]}" here' for k in range(36)] + [f'the session_id: "Q{k}ZZ{k}PPK{k}X" end' for k in range(20, 30)] + [f"model AB{k}x{k} and c++ 3.14" for k in range(10)] + [None, "", "mail a@b.cd"]
     got = {r["doc_id"]: r for r in pii.find(docs(spark, texts)).collect()}
     assert len(got) == len(texts)
-    assert all(got[k]["n_id"] == 1 for k in range(24))
-    assert got[12]["spans"] == f"id:{texts[12].index(hexes[0])}:{texts[12].index(hexes[0]) + 32}"
-    assert sum(got[k]["n_id"] for k in range(24, 34)) >= 9, "the learned key finds other forms"
-    assert all(got[k]["n_id"] == 0 for k in range(34, 44))
-    assert got[44]["spans"] == "" and got[44]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert got[46]["n_email"] == 1 and got[46]["base_sha256"] == hashlib.sha256(b"email:5:11").hexdigest()
+    assert all(got[k]["n_id"] == 1 for k in range(72))
+    assert got[36]["spans"] == f"id:{texts[36].index(hexes[0])}:{texts[36].index(hexes[0]) + 32}"
+    assert sum(got[k]["n_id"] for k in range(72, 82)) >= 9, "the learned key finds other forms"
+    assert all(got[k]["n_id"] == 0 for k in range(82, 92))
+    assert got[92]["spans"] == "" and got[92]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[94]["n_email"] == 1 and got[94]["base_sha256"] == hashlib.sha256(b"email:5:11").hexdigest()
     assert pii.find(docs(spark, ["x"]).limit(0)).count() == 0
 
 
