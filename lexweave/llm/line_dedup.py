@@ -46,6 +46,11 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     differences +1 and -1, D0 for a diagonal without cost.  Lengths must
     differ by ``edits`` at most and be at least ``edits``.
     """
+    # Bound once: inside the lambda an expression would be computed anew at every step.
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda both: _banded(both["a"], both["b"], edits))
+
+
+def _banded(a: Column, b: Column, edits: int) -> Column:
     width, k = 2 * edits + 1, edits
     mask = (1 << width) - 1
     inverse = lambda x: x.bitwiseXOR(F.lit(mask).cast("long"))
