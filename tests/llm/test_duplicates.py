@@ -150,7 +150,9 @@ def test_edit_distance(spark):
 def brute_dedup(texts):
     lines = [[(line, line.strip(" \t\r\x0b\f")) for line in (t or "").split("\n")] for t in texts]
     distinct = list(dict.fromkeys(s for doc in lines for _, s in doc if len(s) >= line_dedup.MIN_CHARS))
-    root = united(len(distinct), [(a, b) for a in range(len(distinct)) for b in range(a) if abs(len(distinct[a]) - len(distinct[b])) <= 2 and distance(distinct[a], distinct[b]) <= 2])
+    count = np.array([np.bincount(np.frombuffer(s.encode(), np.uint8), minlength=256) for s in distinct]).reshape(len(distinct), 256)
+    near = ((a, b) for a in range(len(distinct)) for b in np.flatnonzero(np.abs(count[:a] - count[a]).sum(1) <= 16).tolist())  # two edits change 16 bytes at most
+    root = united(len(distinct), [(a, b) for a, b in near if abs(len(distinct[a]) - len(distinct[b])) <= 2 and distance(distinct[a], distinct[b]) <= 2])
     place = {s: root[k] for k, s in enumerate(distinct)}
     first: dict[int, int] = {}
     out = []
