@@ -125,20 +125,21 @@ HOT_SHARE = 1 / 400
 SALTS = 64
 
 
-def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``per_key``, which has one row per key and the number of ``rows`` of that key.
 
     Hot keys are spread over ``SALTS`` sub-keys: their rows get a random-looking
     salt and their one row on the other side is repeated.  The list of hot keys
     is bounded by ``1 / HOT_SHARE``, so it may be broadcast.
     """
+    key = [key] if isinstance(key, str) else key
     total = per_key.agg(F.sum(count)).first()[0] or 0
     if total == 0:
         return rows.join(per_key.drop(count), key, how)
     least = max(int(total * HOT_SHARE), 64)
-    hot = per_key.filter(F.col(count) > least).select(key, F.lit(True).alias("_hot"))
+    hot = per_key.filter(F.col(count) > least).select(*key, F.lit(True).alias("_hot"))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).drop("_hot")
     last = F.when(F.col(count) > least, F.lit(SALTS - 1)).otherwise(F.lit(0))
     right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop(count)
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*key, "_salt"], how).drop("_salt")

@@ -6,9 +6,9 @@ collapsed first.  A line is cut into EDITS + 1 segments; two lines within EDITS
 edits share at least one of them unchanged, at a place that the length
 difference bounds.  So every line is indexed under (length, segment number,
 segment) and probes the indexes of its own and of up to EDITS smaller lengths
-at those places only.  Pairs that meet must agree on the counts of nine
-characters up to 2 * EDITS (inside the join, so a busy segment makes no
-rows), and are verified by a banded bit-parallel edit distance.  Linked lines
+at those places only.  Pairs that meet must agree on the counts of characters up to
+2 * EDITS (inside the join, so a busy segment makes no rows), and are verified
+by a banded bit-parallel edit distance.  Linked lines
 form classes; of each class the first line stays, in the document with the
 smallest id, at its first place there.
 
@@ -28,8 +28,8 @@ from .graph import components
 
 MIN_CHARS = 20
 EDITS = 2
-#: Characters whose counts are compared before verification.
-LETTERS = "etaniors "
+#: Characters whose counts are compared before verification; all others are counted together.
+LETTERS = " etaoinhsrdlu"
 _BUCKETS = 1 << 20
 
 
@@ -99,13 +99,21 @@ def _text_hash() -> Column:
 
 
 def measured(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``len`` and the packed counts of ``LETTERS``, so that neither is computed twice."""
-    length = F.length("line")
-    counts = F.lit(0).cast("long")
+    """``lines`` with ``len`` and ``counts``: two bits for the count of each of ``LETTERS`` and of all other characters.
+
+    Letters are taken out one after the other, so each step reads what the ones
+    before left.  A count modulo 4 is written in Gray code: one more or one
+    less flips one bit, so bits that differ never exceed the counts' distance.
+    """
+    out = lines.withColumn("len", F.length("line")).withColumn("_rest0", F.col("line"))
     for k, letter in enumerate(LETTERS):
-        n = F.col("len") - F.length(F.replace(F.col("line"), F.lit(letter), F.lit("")))
-        counts = counts + F.shiftleft(F.pmod(n, F.lit(128)).cast("long"), 7 * k)
-    return lines.withColumn("len", length).withColumn("counts", counts)
+        out = out.withColumn(f"_rest{k + 1}", F.replace(F.col(f"_rest{k}"), F.lit(letter), F.lit("")))
+    left = [F.length(f"_rest{k}") for k in range(len(LETTERS) + 1)] + [F.lit(0)]
+    counts = F.lit(0).cast("long")
+    for k in range(len(LETTERS) + 1):
+        n = (left[k] - left[k + 1]).bitwiseAND(F.lit(3))
+        counts = counts + F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * k)
+    return out.withColumn("counts", counts).select(*lines.columns, "len", "counts")
 
 
 def segment_rows(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
@@ -132,21 +140,11 @@ def segment_rows(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataF
     return keyed(index), keyed(probe)
 
 
-def _apart() -> Column:
-    """Sum over the letter groups of how far the counts of a and b are apart (modulo 128, so never too much)."""
-    total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        one = lambda side: F.shiftright(F.col(f"{side}.counts"), 7 * k).bitwiseAND(F.lit(127).cast("long"))  # noqa: B023, E731
-        away = F.abs(one("a") - one("b"))
-        total = total + F.least(away, 128 - away)
-    return total
-
-
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Edges (u, v) between the ids of measured distinct lines within ``edits`` edits."""
     index, probe = segment_rows(lines, edits)
     a, b = index.alias("a"), probe.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (_apart() <= 2 * edits))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (F.bit_count(F.col("a.counts").bitwiseXOR(F.col("b.counts"))) <= 2 * edits))
     pairs = met.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
     pairs = stored(pairs, "line_candidates")
     # Only lines of candidates are needed; a bounded set of hash buckets spares the rest the shuffle.
@@ -160,26 +158,28 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(k, first_doc, root, n) for every distinct line that isn't alone in its class; k is the line's 128-bit hash."""
+    """(h1, h2, first_doc, root, n) for every distinct line that isn't alone in its class; h1 and h2 are the line's hash."""
     distinct = _lines(docs).groupBy("line").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
     distinct = distinct.select(F.monotonically_increasing_id().alias("id"), "line", "first_doc", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     distinct = stored(measured(distinct), "lines")
     member = stored(components(line_links(distinct.select("id", "line", "len", "counts"), edits)), "line_components")
-    facts = distinct.select("id", "first_doc", "n", F.struct("h1", "h2").alias("k"))
+    facts = distinct.select("id", "first_doc", "n", "h1", "h2")
     rooted = facts.join(member.withColumnRenamed("node", "id"), "id", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("_first"))
-    return stored(rooted.join(firsts, "root").select("k", F.col("_first").alias("first_doc"), "root", "n"), "line_classes")
+    return stored(rooted.join(firsts, "root").select("h1", "h2", F.col("_first").alias("first_doc"), "root", "n"), "line_classes")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, _h, drop, sources): places of the lines to drop, and the documents that keep their like."""
     classes = line_classes(docs, edits)
-    seen = _lines(docs).select("doc_id", "_h", "at", F.struct("h1", "h2").alias("k"))
-    hits = join_by_key(seen, classes, "k", "n")
-    per_class = hits.groupBy("doc_id", "_h", "root").agg(F.first("first_doc").alias("first_doc"), F.collect_set("at").alias("places"))
-    rest = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.array_except("places", F.array(F.array_min("places")))).otherwise(F.col("places"))
-    dropped = per_class.select("doc_id", "_h", rest.alias("places"), "first_doc").filter(F.size("places") > 0)
-    return dropped.groupBy("doc_id", "_h").agg(F.flatten(F.collect_list("places")).alias("_drop"), F.array_sort(F.collect_set("first_doc")).alias("_sources"))
+    seen = _lines(docs).select("doc_id", "_h", "at", "h1", "h2")
+    hits = join_by_key(seen, classes, ["h1", "h2"], "n")
+    # A document's places by class and place: of a class that begins here the first one stays.
+    own = hits.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.struct("root", "at", "first_doc"))).alias("_all"))
+    begins = lambda x, i: (i == 0) | (F.get("_all", F.greatest(i - 1, F.lit(0)))["root"] != x["root"])
+    drop = F.filter("_all", lambda x, i: ~(x["first_doc"].eqNullSafe(F.col("doc_id")) & begins(x, i)))
+    dropped = own.select("doc_id", "_h", drop.alias("_gone")).filter(F.size("_gone") > 0)
+    return dropped.select("doc_id", "_h", F.col("_gone.at").alias("_drop"), F.array_sort(F.array_distinct("_gone.first_doc")).alias("_sources"))
 
 
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
