@@ -89,8 +89,8 @@ def characters(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, _h, at, line, h1, h2): the lines that are compared."""
-    cut = docs.select("doc_id", _text_hash().alias("_h"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    cut = cut.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\x0b\f"))).filter(F.length("line") >= MIN_CHARS)
+    cut = docs.select("doc_id", _text_hash().alias("_h"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\f")))).alias("at", "line"))
+    cut = cut.filter(F.length("line") >= MIN_CHARS)
     return cut.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
