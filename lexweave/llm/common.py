@@ -37,7 +37,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     release_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no later plan reads; what was made of it must be stored by then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, stored
+from .common import discard, join_by_key, stored
 from .graph import components
 
 MIN_CHARS = 20
@@ -166,7 +166,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     facts = distinct.select("id", "first_doc", "n", "h1", "h2")
     rooted = facts.join(member.withColumnRenamed("node", "id"), "id", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("_first"))
-    return stored(rooted.join(firsts, "root").select("h1", "h2", F.col("_first").alias("first_doc"), "root", "n"), "line_classes")
+    classes = stored(rooted.join(firsts, "root").select("h1", "h2", F.col("_first").alias("first_doc"), "root", "n"), "line_classes")
+    discard(docs.sparkSession, distinct.stored_at)  # the largest table here
+    return classes
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
