@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that loses all its compared lines goes with them."""
-    out = line_dedup.dedup(docs).filter("_removed = 0 or _left > 0")
+    """Repeated lines go; a document that loses lines goes with them if nothing but white space is left."""
+    out = line_dedup.dedup(docs).filter((F.col("_removed") == 0) | F.col("text").rlike(r"\S"))
     columns = [F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)
 
