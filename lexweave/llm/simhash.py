@@ -105,28 +105,42 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 # Grouping at a given shingle similarity.  At 0.8 (five words) two fingerprints
 # differ in about 15 % of their bits, which needs longer fingerprints and
 # blocks that are tried by chance instead of the two-bit guarantee above.
+# Fingerprints only propose pairs; the shingle sets decide.
 
 WIDE_WORDS = 4  # 64-bit words of a wide fingerprint
 WIDE_BLOCK = 16
-WIDE_RADIUS = 40  # of 256 bits: the expected difference at a similarity of 0.8
-LENGTH_STEP = 0.8
+ORDERS = 4  # orders of the bits, each cut into blocks
+#: Only a prefilter: of 256 bits 39 differ on average at a similarity of 0.8, with a deviation of 6.
+WIDE_RADIUS = 64
+NEAR_RADIUS = 30  # pairs to try first: they usually are similar
+SIMILAR = 0.8
+_BITS = np.stack([np.arange(64 * WIDE_WORDS), *(np.random.default_rng(SEED + k).permutation(64 * WIDE_WORDS) for k in range(1, ORDERS))])
 
 
-def wide_fingerprint(text: bytes, width: int) -> tuple[np.ndarray, int]:
-    """(four 64-bit words, number of words): every shingle hash is mixed into four."""
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles of lower-cased (A-Z) words."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WIDE_WORDS, np.int64), 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(words) - width + 1, 1)
     last = ends[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), last[:n].tolist(), strict=True)], np.uint64))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)).astype(np.int64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: every shingle hash is mixed into four."""
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
-    for at in range(0, n, _CHUNK):
-        spans = zip(starts[at : min(at + _CHUNK, n)].tolist(), last[at : min(at + _CHUNK, n)].tolist(), strict=True)
-        h = np.unique(np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64))
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at : at + _CHUNK]
         wide = np.empty((len(h), WIDE_WORDS), "<u8")
         for k in range(WIDE_WORDS):
             m = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
@@ -134,64 +148,142 @@ def wide_fingerprint(text: bytes, width: int) -> tuple[np.ndarray, int]:
             m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             wide[:, k] = m ^ (m >> np.uint64(31))
         ones += 2 * np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(h)
-    return np.packbits(ones > 0, bitorder="little").view("<i8"), len(words)
+    return np.packbits(ones > 0, bitorder="little").view("<i8")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, component_id, n_words) of documents in groups of similar texts.
+_NAMES = [f"f{k}" for k in range(WIDE_WORDS)]
+
+
+def _files(distinct: DataFrame) -> DataFrame:
+    """(file, id, f0...) of nodes that share a file with others.
 
-    Fingerprints of 256 bits are filed by each of their 16 blocks together
-    with a length class (and the next one, as similar texts have similar
-    lengths).  In a file, members are compared with its leaders only: the
-    members that no earlier leader was near.  So a group of copies costs a
-    comparison a member.  Documents without words are in no group.
+    A node is filed by each block of each order of its bits, together with the
+    class of its number of shingles and the next class, as the sizes of
+    similar sets differ by 1 / SIMILAR at most.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"f{k}" for k in range(WIDE_WORDS)]
+    n_keys = 2 * ORDERS * 64 * WIDE_WORDS // WIDE_BLOCK
 
-    def mark(batches):
+    def file(batches):
         for batch in batches:
-            got = [wide_fingerprint(t.as_py(), width) for t in batch.column(1)]
-            fps = np.stack([g[0] for g in got]) if got else np.zeros((0, WIDE_WORDS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE_WORDS)), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", *names, "n_words"])
-
-    marked = docs.select("doc_id", text_bytes().alias("_bytes")).mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names) + ", n_words long")
-    marked = stored(marked.withColumn("k", F.struct(*names)), "wide_fingerprints")
-    distinct = marked.filter("n_words > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("n_words").alias("n_words"))
-    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "k", "first", "n", "n_words"), "wide_distinct")
-    step = F.floor(F.log("n_words") / F.log(F.lit(1 / LENGTH_STEP))).cast("int")
-    files = []
-    for t in range(64 * WIDE_WORDS // WIDE_BLOCK):
-        word, shift = divmod(t * WIDE_BLOCK, 64)
-        block = F.shiftrightunsigned(F.col(f"k.f{word}"), shift).bitwiseAND(F.lit((1 << WIDE_BLOCK) - 1).cast("long"))
-        files += [F.xxhash64(F.lit(t), block, step + more) for more in (0, 1)]
-    rows = distinct.select("id", *[F.col(f"k.{c}").alias(c) for c in names], F.explode(F.array(*files)).alias("file"))
-
-    def lead(frames):
-        """Runs of one file, in order; a file's leaders are carried over batch borders."""
-        now, leaders, ids = None, np.zeros((0, WIDE_WORDS), np.uint64), []
+            fps = np.stack([batch.column(1 + k).to_numpy() for k in range(WIDE_WORDS)], 1)
+            bits = np.unpackbits(fps.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            blocks = np.concatenate([np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view("<u2") for order in _BITS], 1).astype(np.int64)
+            step = np.floor(np.log(np.maximum(batch.column(1 + WIDE_WORDS).to_numpy(), 1)) / -np.log(SIMILAR - 1e-6)).astype(np.int64)[:, None]
+            base = (np.arange(blocks.shape[1]) << 16) | blocks
+            keys = np.concatenate([(step + more) << 32 | base for more in (0, 1)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), n_keys))], names=["file", "id"])
+
+    def shared(batches):
+        """Rows of files with two members or more, from rows sorted by file."""
+        held_file = held_id = np.zeros(0, np.int64)
+        again = False  # whether the held row's file had an earlier row
+        for batch in batches:
+            f, i = np.concatenate([held_file, batch.column(0).to_numpy()]), np.concatenate([held_id, batch.column(1).to_numpy()])
+            if not len(f):
+                continue
+            same = np.concatenate([[again], f[1:] == f[:-1]])
+            use = (same | np.concatenate([same[1:], [False]]))[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(f[:-1][use]), pa.array(i[:-1][use])], names=["file", "id"])
+            held_file, held_id, again = f[-1:], i[-1:], bool(same[-1])
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(held_file), pa.array(held_id)], names=["file", "id"])
+
+    rows = distinct.select("id", *_NAMES, "n_shingles").mapInArrow(file, "file long, id long")
+    met = stored(rows.repartition("file").sortWithinPartitions("file", "id").mapInArrow(shared, "file long, id long"), "wide_files")
+    return stored(met.join(distinct.select("id", *_NAMES), "id"), "wide_members")
+
+
+def _proposed(members: DataFrame, radius: int, leaders_only: bool) -> DataFrame:
+    """(u, v): pairs within ``radius`` in a file and of different ``root``; with ``leaders_only`` each member
+    is paired with the nearest of its file's leaders, the members that no earlier leader was near."""
+
+    def pair(frames):
+        """Runs of one file, in order; what members are compared with is carried over batch borders."""
+        now, seen, ids, roots, size = None, np.zeros((64, WIDE_WORDS), np.uint64), np.zeros(64, np.int64), np.zeros(64, np.int64), 0
         for pdf in frames:
             out_u, out_v = [], []
-            file, own, fp = pdf["file"].to_numpy(), pdf["id"].to_numpy(), pdf[names].to_numpy().view(np.uint64)
-            border = np.flatnonzero(np.diff(file)) + 1
-            for s, e in zip(np.concatenate([[0], border]), np.concatenate([border, [len(file)]]), strict=True):
-                if s == e:
-                    continue
-                if file[s] != now:
-                    now, leaders, ids = file[s], np.zeros((0, WIDE_WORDS), np.uint64), np.zeros(0, np.int64)
-                    if e - s == 1 and e < len(file):
-                        continue
-                for j in range(s, e):
-                    near = np.bitwise_count(leaders ^ fp[j]).sum(1) <= radius
-                    if near.any():
-                        out_u += [own[j]] * int(near.sum())
-                        out_v += ids[near].tolist()
+            file, own, root, fp = pdf["file"].to_numpy(), pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf[_NAMES].to_numpy().view(np.uint64)
+            for j in range(len(file)):
+                if file[j] != now:
+                    now, size = file[j], 0
+                if size:
+                    away = np.bitwise_count(seen[:size] ^ fp[j]).sum(1)
+                    if leaders_only:
+                        best = int(away.argmin())
+                        if away[best] <= radius:
+                            out_u.append(own[j])
+                            out_v.append(ids[best])
+                            continue
                     else:
-                        leaders, ids = np.concatenate([leaders, fp[j : j + 1]]), np.append(ids, own[j])
+                        near = (away <= radius) & (roots[:size] != root[j])
+                        out_u += [own[j]] * int(near.sum())
+                        out_v += ids[:size][near].tolist()
+                if size == len(ids):
+                    seen, ids, roots = np.concatenate([seen, seen]), np.concatenate([ids, ids]), np.concatenate([roots, roots])
+                seen[size], ids[size], roots[size] = fp[j], own[j], root[j]
+                size += 1
             yield pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
 
-    edges = rows.repartition("file").sortWithinPartitions("file", "id").mapInPandas(lead, "u long, v long").distinct()
-    member = components(edges)
+    pairs = members.repartition("file").sortWithinPartitions("file", "id").mapInPandas(pair, "u long, v long")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets have a similarity of at least SIMILAR; sets are made anew for their nodes only."""
+
+    def sets(batches):
+        for batch in batches:
+            got = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in got], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in got], pa.binary())], names=["s", "hashes"])
+
+    def compare(batches):
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both >= SIMILAR * (len(a) + len(b) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    pairs = stored(pairs, "wide_pairs")
+    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(distinct.select("id", F.col("k.s").alias("s"), "first"), "id")
+    nodes = stored(nodes, "wide_needed")
+    texts = docs.select(F.col("doc_id").alias("_d"), text_bytes().alias("_bytes")).join(nodes.select("first").distinct(), F.expr("_d <=> first"), "left_semi")
+    made = texts.select("_bytes").mapInArrow(sets, "s long, hashes binary")
+    hashes = stored(nodes.select("id", "s").join(made, "s").groupBy("id").agg(F.first("hashes").alias("hashes")), "wide_sets")
+    both = pairs.join(hashes.withColumnRenamed("id", "u").withColumnRenamed("hashes", "a"), "u").join(hashes.withColumnRenamed("id", "v").withColumnRenamed("hashes", "b"), "v")
+    return stored(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "wide_edges")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, component_id, n_words) of documents in groups of similar texts.
+
+    Nodes are distinct shingle sets.  Two that meet in a file and whose
+    fingerprints are within ``radius`` are linked if their exact shingle
+    similarity is SIMILAR or more.  Members are tried with leaders first, which
+    gathers groups of copies at a comparison a member; then all pairs that are
+    still in different groups are tried, so links through members count.
+    Documents without words are in no group.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def mark(batches):
+        for batch in batches:
+            got = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            fps = np.stack([wide_fingerprint(h) for h in got]) if got else np.zeros((0, WIDE_WORDS), np.int64)
+            more = [pa.array([set_key(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int64()), pa.array([len(t.as_py().split()) for t in batch.column(1)], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE_WORDS)), *more], names=["doc_id", *_NAMES, "s", "n_shingles", "n_words"])
+
+    marked = docs.select("doc_id", text_bytes().alias("_bytes")).mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _NAMES) + ", s long, n_shingles long, n_words long")
+    marked = stored(marked.withColumn("k", F.struct(*_NAMES, "s")), "wide_fingerprints")
+    distinct = marked.filter("n_words > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "k", *[F.col(f"k.{c}").alias(c) for c in _NAMES], "first", "n", "n_shingles"), "wide_distinct")
+    members = _files(distinct)
+    near = _verified(_proposed(members.withColumn("root", F.col("id")), min(NEAR_RADIUS, radius), True), distinct, docs, width)
+    found = stored(components(near), "wide_near")
+    joined = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    more = _verified(_proposed(joined, radius, False), distinct, docs, width)
+    member = components(near.union(more))
     rooted = distinct.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     per_fp = stored(rooted.join(firsts, "root").select("k", "component_id", "n"), "wide_components")

@@ -1,5 +1,9 @@
 """Pipeline stages do the whole job: nothing of a document's own is lost."""
 
+import random
+
+from lexweave.llm import simhash
+
 
 def documents(spark, texts):
     return spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -14,3 +18,34 @@ def test_short_lines_keep_a_document(spark):
     got = {r["doc_id"]: r for r in corpus_pipeline.lines(spark, documents(spark, texts), "").collect()}
     assert set(got) == {0, 1, 4, 5}, "verse stays, documents without anything of their own go"
     assert got[1]["text"] == "\n".join(verse) and got[1]["n_chars"] == len(got[1]["text"])
+
+
+def tail_pair(rng, j, size):
+    """Two texts of ``size`` shingles each whose similarity is ``j`` or a little more."""
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(size + 4)]
+    cut = int(size * (1 - j) / (1 + j))
+    return " ".join(words), " ".join(words[: len(words) - cut] + [f"v{rng.randint(0, 10**9)}" for _ in range(cut)]), (size - cut) / (size + cut)
+
+
+def test_near_duplicates_are_decided_by_shingles(spark):
+    rng = random.Random(4)
+    pairs = [tail_pair(rng, 0.8 + 0.05 * k / 299, rng.choice([100, 300, 600])) for k in range(300)]
+    apart = [tail_pair(rng, 0.7 + 0.09 * k / 299, rng.choice([100, 300, 600])) for k in range(300)]
+    apart = [p for p in apart if p[2] < 0.8]
+    texts = [t for a, b, _ in pairs + apart for t in (a, b)]
+    kept = {r["doc_id"] for r in simhash.keep_first(documents(spark, texts)).collect()}
+    gone = sum(2 * k + 1 not in kept for k in range(len(pairs)))
+    print(f"found {gone} of {len(pairs)} pairs at 0.8 to 0.85, dropped {sum(2 * k + 1 not in kept for k in range(len(pairs), len(pairs) + len(apart)))} of {len(apart)} at 0.7 to 0.8")
+    assert all(2 * k in kept for k in range(len(pairs)))
+    assert gone > 0.9 * len(pairs)
+    assert all(2 * k + 1 in kept for k in range(len(pairs), len(pairs) + len(apart)))
+
+
+def test_links_through_members(spark):
+    """A chain: neighbours are similar, ends are not."""
+    rng = random.Random(5)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(500)]
+    chain = [" ".join(words[k : k + 300]) for k in (0, 15, 30, 45, 60, 75, 90)]
+    order = [0, 6, 3, 1, 5, 2, 4]
+    kept = {r["doc_id"] for r in simhash.keep_first(documents(spark, [chain[k] for k in order])).collect()}
+    assert kept == {0}
