@@ -4,9 +4,11 @@ Heuristic labellers vote good, bad or nothing on every document, one group on
 the form of the text and one on toxic words.  Expectation-maximisation over
 the histogram of vote patterns (at most 3 ** labellers rows, from all
 documents) estimates each labeller's accuracy and each pattern's posterior.
-The posteriors of a hash sample of about ``TRAIN_ROWS`` documents then train a
-linear scorer over hashed n-grams and the labellers' measures; the scorer,
-calibrated on a fifth of the sample, decides.
+The posteriors of a hash sample of at most ``TRAIN_ROWS`` distinct documents, half of
+them bad if there are so many, then train a linear scorer over hashed n-grams
+and the labellers' measures; the scorer, calibrated on a fifth of the sample
+with both sides weighted back to their numbers, decides.  Where all documents
+are on one side, the label model's posterior decides.
 
 The toxic word lists are learned from labelled rows (about ``LEXICON_ROWS`` of
 each class): words and word starts that toxic rows have and others don't, in
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fit_platt, hash_sample, text_bytes
+from .common import fit_logistic, fit_platt, hash_sample, stored, text_bytes
 from .features import DIM, groups, mean_weight, sparse_row, word_codes
 from .quality_rules import repeated_words
 
@@ -127,23 +129,42 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     lexicons = toxic_lexicons(docs, labels)
 
     def vote(batches):
+        """Numbers of patterns, and for each the documents that come first by hash: TRAIN_ROWS at most."""
         total: dict[str, int] = {}
+        first: dict[str, set[int]] = {}
         for batch in batches:
-            for t in batch.column(0):
+            for t, row in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = (raw := t.as_py()).split()
                 key = votes(measures(raw, words, word_codes(words), lexicons))
                 total[key] = total.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["p", "n"])
-
-    histogram = docs.select(text_bytes().alias("_bytes")).mapInArrow(vote, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()
+                if row is None:
+                    continue
+                own = first.setdefault(key, set())
+                own.add(row)
+                if len(own) >= 4 * TRAIN_ROWS:
+                    first[key] = set(sorted(own)[:TRAIN_ROWS])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([sorted(first.get(p, ()))[:TRAIN_ROWS] for p in total], pa.list_(pa.int64()))], names=["p", "n", "rows"])
+
+    keyed = docs.select("doc_id", text_bytes().alias("_bytes")).withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "_bytes", F.lit("sample"))))
+    voted = stored(keyed.select("_bytes", "_row").mapInArrow(vote, "p string, n long, rows array<long>"), "quality_votes")
+    histogram = voted.groupBy("p").agg(F.sum("n").alias("n")).collect()
     if not histogram:
-        return {"lexicons": lexicons, "w": None}
+        return {"lexicons": lexicons, "w": None, "posterior": {}}
     histogram.sort(key=lambda r: r["p"])
     patterns, counts = [r["p"] for r in histogram], np.array([r["n"] for r in histogram], float)
     form, form_rates = expectation_maximisation(patterns, counts, slice(0, N_FORM))
     toxic, toxic_rates = expectation_maximisation(patterns, counts, slice(N_FORM, N_FORM + N_TOXIC), sure=2)
     posterior = dict(zip(patterns, (1 - form) * (1 - toxic), strict=True))
-    sample = hash_sample(docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("_bytes")), "doc_id", TRAIN_ROWS, int(counts.sum()))
+    label_model = {"lexicons": lexicons, "w": None, "posterior": posterior}
+    sides = docs.sparkSession.createDataFrame([(p, bool(q > KEEP)) for p, q in posterior.items()], "p string, good boolean")
+    listed = voted.join(F.broadcast(sides), "p").select("good", F.explode("rows").alias("_row"))  # a row per pattern
+    bad = listed.filter("not good").select("_row").distinct().orderBy("_row").limit(TRAIN_ROWS).collect()
+    good = listed.filter("good").select("_row").distinct().orderBy("_row").limit(TRAIN_ROWS).collect()
+    n_bad = min(len(bad), max(TRAIN_ROWS // 2, TRAIN_ROWS - len(good)))
+    chosen = [(r["_row"],) for r in bad[:n_bad] + good[: TRAIN_ROWS - n_bad]]
+    if not bad or not good:
+        return label_model
+    sample = keyed.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "_row long")), "_row").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("_bytes").alias("_bytes")).select("doc_id", "_bytes")
 
     def featurise(batches):
         for batch in batches:
@@ -159,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     got = sample.mapInArrow(featurise, "k string, p string, i binary, v binary, d binary").collect()
     got.sort(key=lambda r: (r["k"], bytes(r["i"])))
     y = np.array([posterior[r["p"]] for r in got])
-    if len(y) == 0 or not ((y > 0.5).any() and (y <= 0.5).any()):
-        return {"lexicons": lexicons, "w": None}
+    if not ((y > KEEP).any() and (y <= KEEP).any()):
+        return label_model
     x = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got]
     d = np.stack([np.frombuffer(r["d"], np.float64) for r in got])
     held = word_codes([r["k"].encode() for r in got]) % 5 == 0
@@ -172,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     w, dw, b = fit_logistic([x[k] for k in use], d[use], y[use], balance, 4 * DIM, steps=80)
     test = np.flatnonzero(held) if held.any() and len(set(y[held] > 0.5)) == 2 else use
     z = np.array([float(x[k][1] @ w[x[k][0]]) for k in test]) + d[test] @ dw + b
-    a, c = fit_platt(z, (y[test] > 0.5).astype(float))
+    # Both sides count in the calibration as they do in the corpus.
+    on_good = np.array([posterior[p] > 0.5 for p in patterns])
+    share = np.where(y[test] > 0.5, counts[on_good].sum() / (y[test] > 0.5).sum(), counts[~on_good].sum() / (y[test] <= 0.5).sum())
+    a, c = fit_platt(z, (y[test] > 0.5).astype(float), share * len(test) / counts.sum())
     return {"lexicons": lexicons, "w": w, "d": dw, "b": b, "a": a, "c": c, "posterior": posterior, "form": form_rates, "toxic": toxic_rates}
 
 
@@ -198,9 +222,12 @@ def _scorer(shared, keep: float, text_at: int):
                 words = (raw := t.as_py()).split()
                 codes = word_codes(words)
                 seen = measures(raw, words, codes, m["lexicons"])
-                pattern, p, q = votes(seen), 1.0, None
+                pattern = votes(seen)
+                q = m["posterior"].get(pattern)
+                p = q
+                if p is None:  # never seen by the label model: any accusation decides
+                    p = float(str(BAD) not in pattern)
                 if m["w"] is not None:
-                    q = m["posterior"].get(pattern)
                     z = mean_weight(groups(np.frombuffer(raw, np.uint8), codes), m["w"]) + float(dense(seen) @ m["d"]) + m["b"]
                     p = float(1 / (1 + np.exp(-np.clip(m["a"] * z + m["c"], -30, 30))))
                 rows.append((pattern, q, p, p >= keep))
