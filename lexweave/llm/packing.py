@@ -31,9 +31,9 @@ from .common import stored
 CAPACITY = 1024
 END_ID = 2
 CACHE_ENTRIES = 400_000
-#: Up to so many pieces the search may reconsider earlier bins; beyond, fillings repeat in bulk.
-EXACT_PIECES = 64
+#: What may be spent: nodes of one search, and steps inside fillings of all.
 NODES = 20_000
+STEPS = 1_000_000
 # The pre-tokenizer pattern of the vocabulary's format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
@@ -119,12 +119,13 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, _part int, _rank long")
 
 
-def completions(room: int, left: dict[int, int], nodes: int, least: int = 0):
+def completions(room: int, left: dict[int, int], nodes: int, least: int = 0, spent: list[int] | None = None):
     """Fillings of ``room`` from ``left`` (length -> count), fullest first among those found within ``nodes``.
 
     Depth first over lengths in falling order.  A filling is kept only if no
     unused piece still fits (such a filling is dominated), and the search stops
-    at a filling without waste, as none can dominate it.
+    at a filling without waste, as none can dominate it.  ``spent`` gathers the
+    steps taken.
     """
     order = sorted((x for x in left if x <= room and left[x] > 0), reverse=True)
     found: dict[tuple, int] = {}
@@ -153,6 +154,8 @@ def completions(room: int, left: dict[int, int], nodes: int, least: int = 0):
         return False
 
     walk(0, room, (), None)
+    if spent is not None:
+        spent[0] += nodes - budget[0]
     return sorted(found, key=lambda f: (found[f], sum(n for _, n in f)))
 
 
@@ -182,18 +185,94 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return [(tuple(c), m) for r in rooms.values() for c, m in r]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: bins of the pieces over half, and what smaller ones need beyond the room there."""
+    lengths = np.array(sorted(k for k in counts if counts[k] > 0), np.int64)
+    if not len(lengths):
+        return 0
+    many = np.array([counts[int(k)] for k in lengths], np.int64)
+    best = 0
+    for small in [0, *lengths[2 * lengths <= capacity].tolist()]:
+        half, rest = (2 * lengths > capacity) & (lengths <= capacity - small), (2 * lengths <= capacity) & (lengths >= small)
+        over = int((lengths * many)[rest | half].sum()) - int(many[half].sum()) * capacity
+        best = max(best, int(many[2 * lengths > capacity].sum()) + max(0, -(-over // capacity)))
+    return best
+
+
+def branch_and_bound(counts: dict[int, int], capacity: int, best: list[tuple[tuple, int]], least: int) -> list[tuple[tuple, int]]:
+    """A better solution than ``best`` if one is found, by branching on counts.
+
+    A branch is a filling around the largest piece and how many bins have it
+    (as many as can be, half of that, ..., one; more come from branching
+    again).  It ends where it wastes more than the wanted number of bins can.
+    The wanted number starts at ``least`` and is relaxed.  What is left is not
+    searched twice.  A search spends NODES nodes at most and all searches STEPS
+    steps inside fillings, however many pieces there are.
+    """
+    total, size = sum(k * v for k, v in counts.items()), sum(m for _, m in best)
+    spent, known = [0], {}
+
+    def options(left: dict[int, int]):
+        x = max(left)
+        rest = {k: v - (k == x) for k, v in left.items() if v - (k == x)}
+        key = (x, *((k, min(v, capacity // k + 1)) for k, v in rest.items()))  # more of a length makes no difference
+        if key not in known:
+            known[key] = completions(capacity - x, rest, 2000, least=-1, spent=spent) or [()]
+        for fill in known[key]:
+            used = dict(fill)
+            empty = capacity - x - sum(k * n for k, n in fill)
+            used[x] = used.get(x, 0) + 1
+            many = min(left[k] // n for k, n in used.items())
+            while many:
+                yield tuple(sorted(used.items(), reverse=True)), many, empty
+                many //= 2
+
+    wanted, gap, steps = least, 1, STEPS
+    while wanted < size and steps > 1000:
+        steps //= 2
+        nodes, spent[0] = NODES, 0
+        known.clear()
+        seen: dict[frozenset, int] = {}  # what was left at a node, with the bins before it
+        path: list[tuple[tuple, int]] = []
+        stack = [(counts, 0, 0, options(counts))]
+        while stack and nodes > 0 and spent[0] < steps and wanted < size:
+            left, bins, waste, todo = stack[-1]
+            option = next(todo, None)
+            if option is None:
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            fill, many, empty = option
+            if waste + many * empty > min(wanted, size - 1) * capacity - total:
+                continue
+            nodes -= 1
+            used = dict(fill)
+            after = {k: v - many * used.get(k, 0) for k, v in left.items() if v > many * used.get(k, 0)}
+            state = frozenset(after.items())
+            if seen.get(state, size) <= bins + many:
+                continue
+            seen[state] = bins + many
+            path.append((fill, many))
+            if after:
+                stack.append((after, bins + many, waste + many * empty, options(after)))
+                continue
+            best, size = list(path), bins + many
+            path.pop()
+        wanted, gap = min(wanted + gap, max(size - 1, wanted + 1)), 2 * gap
+    return best
+
+
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
     """Fillings ((length, how often), ...) with the number of bins that use each.
 
     Bin completion around the largest piece, in bulk: a filling is used as
     often as the counts allow, so there are about as many steps as lengths.
-    Small inputs are searched further: all undominated fillings, pruned by the
-    waste that the best known solution leaves.  The best-fit solution is the
-    incumbent and is returned where nothing better is found.
+    Where that or the best-fit solution has more bins than the lower bound, the
+    better one is the incumbent of a branch and bound.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v > 0}
-    total = sum(k * v for k, v in counts.items())
-    least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     size = sum(m for _, m in best)
     if size > least:
@@ -213,32 +292,7 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
                     del left[k]
         if sum(m for _, m in bulk) < size:
             best, size = bulk, sum(m for _, m in bulk)
-    if size > least and sum(counts.values()) <= EXACT_PIECES:
-        nodes = [NODES]
-
-        def search(left: dict[int, int], done: list, waste: int) -> None:
-            nonlocal best, size
-            if not left:
-                if len(done) < size:
-                    best, size = [(f, 1) for f in done], len(done)
-                return
-            spare = (size - 1) * capacity - total  # a better solution wastes no more than this
-            if nodes[0] < 0 or waste > spare or size <= least:
-                return
-            nodes[0] -= 1
-            x = max(left)
-            rest = {k: v - (k == x) for k, v in left.items() if v - (k == x)}
-            for fill in completions(capacity - x, rest, 2000, least=-1) or [()]:
-                used = dict(fill)
-                empty = capacity - x - sum(k * n for k, n in fill)
-                if waste + empty > spare:
-                    continue
-                after = {k: v - used.get(k, 0) for k, v in rest.items() if v - used.get(k, 0)}
-                used[x] = used.get(x, 0) + 1
-                search(after, [*done, tuple(sorted(used.items(), reverse=True))], waste + empty)
-
-        search(counts, [], 0)
-    return best
+    return branch_and_bound(counts, capacity, best, least) if size > least else best
 
 
 def place_plan(fillings: list[tuple[tuple, int]]) -> dict[int, np.ndarray]:
