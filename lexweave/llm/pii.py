@@ -1,7 +1,9 @@
 """Operator 4: personal data by base patterns and bootstrapped contextual extraction.
 
 Base kinds are exact regular expressions with checks.  Beside them, tokens of
-letters and digits are candidate identifiers.  A candidate is an instance that
+letters and digits are candidate identifiers, and so is any value that stands
+after a key, whatever its characters and length; such a value has its key as
+its only pattern, unless it is such a token too.  A candidate is an instance that
 is linked to patterns: the key before it (``password=``, ``token: "``), the
 class of its characters, and its prefix with class and length.  Seeds are the
 base entities and candidates after a key of ``SEED_KEYS`` or with a prefix of
@@ -20,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,6 +51,10 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+")
 _TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 _KEY = re.compile(r"([A-Za-z_]{2,20})\s{0,3}[=:]\s{0,3}[\"']?\Z")
 
+_AFTER = re.compile(r"[=:]\s{0,3}[\"']?(?=[A-Za-z0-9_(])")
+#: A number in three groups, or words joined by single signs.
+_VALUE = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,4}(?![A-Za-z0-9_])|[A-Za-z0-9_]+(?:[-.@+/][A-Za-z0-9_]+)*")
+
 
 def _luhn(digits: str) -> bool:
     total = 0
@@ -125,6 +133,23 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def keyed(text: str, taken: list[tuple[int, int, int]], known: set[tuple[int, int]]) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, patterns, seed) of values after a key that are outside ``taken`` and not ``known`` yet."""
+    out = []
+    spans = sorted((s, e) for s, e, _ in taken)
+    starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    for m in _AFTER.finditer(text):
+        value = _VALUE.match(text, m.end())
+        key = value and _KEY.search(text, max(0, m.end() - 32), m.end())
+        if not key or value.span() in known:
+            continue
+        before = bisect_left(starts, value.end())
+        if before and ends[before - 1] > value.start():
+            continue
+        out.append((*value.span(), [f"key:{key[1].lower()}"], key[1].lower() in SEED_KEYS))
+    return out
+
+
 _SPAN = "struct<start:long,end:long,kind:int>"
 _CAND = "struct<start:long,end:long,inst:long,seed:boolean,patterns:array<string>>"
 
@@ -143,7 +168,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = value.as_py() or ""
                 base = base_spans(text)
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
-                cand = [{"start": s, "end": e, "inst": (zlib.crc32(text[s:e].encode()) << 31) ^ zlib.adler32(text[s:e].encode()), "seed": seed, "patterns": p} for s, e, p, seed in candidates(text, base)]
+                free = candidates(text, base)
+                free += keyed(text, base, {(s, e) for s, e, _, _ in free})
+                cand = [{"start": s, "end": e, "inst": (zlib.crc32(text[s:e].encode()) << 31) ^ zlib.adler32(text[s:e].encode()), "seed": seed, "patterns": p} for s, e, p, seed in free]
                 cand += [{"start": s, "end": e, "inst": (zlib.crc32(text[s:e].encode()) << 31) ^ zlib.adler32(text[s:e].encode()), "seed": True, "patterns": [f"key:{m[1].lower()}"]}
                          for s, e, _ in base if (m := _KEY.search(text, max(0, s - 32), s))]
                 found.append(cand)
@@ -181,6 +208,8 @@ def find(docs: DataFrame) -> DataFrame:
     both = scanned.join(added, "_row", "left")
     base = F.col("base")
     free = F.filter(F.coalesce("added", F.expr(f"cast(array() as array<{_SPAN}>)")), lambda a: ~F.exists(base, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+    # A token inside a longer value that is added too says nothing more.
+    free = F.filter(free, lambda a: ~F.exists(free, lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (b["end"] - b["start"] > a["end"] - a["start"])))
     everything = F.array_sort(F.transform(F.concat(base, free), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
