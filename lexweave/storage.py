@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where a session has none (local tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or the checkpoint folder that the session has.
+
+    Only a local session (driver and executors on one machine) may be without:
+    it gets a temporary folder.  A cluster without a shared folder is an error.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
     if folder is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lexweave-checkpoint-")
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+        if current.isDefined():
+            folder = current.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not current.isDefined():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -23,5 +33,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder as Parquet and read again: lineage ends there and row places are fixed."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back.stored_at = path
+    return back
