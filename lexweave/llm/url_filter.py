@@ -10,14 +10,18 @@ accepted are the others except those that a rule blocks (a block is policy and
 says nothing about the spelling).  Counts cover all pages; every fifth URL (by
 hash) is left out of the counts and sets the threshold.
 
-The models are variable-order Markov models: Witten-Bell smoothing backs off
-from ``ORDER`` preceding bytes to none.  Contexts and n-grams are hashed into
-fixed spaces, so a model has a bounded size whatever the corpus.
+The models are variable-order Markov models over bytes: Witten-Bell smoothing
+backs off from ``ORDER`` preceding bytes to none.  All counts are exact and in
+tables that grow with the corpus: one row per distinct window of ORDER + 1
+bytes.  Windows that share their two bytes before the last meet in one
+partition, which has all that orders 2 to ORDER need; orders 0 and 1 have at
+most 256 * 257 counts, which are broadcast.  URLs are scored by a join with the
+table of windows; frequent windows are salted.
 
 Defined cases: null URLs and URLs without ``://`` have an empty host and path;
 with nothing to judge (empty URL) or only one kind of training URL, the method
-allows; very long URLs are scored whole; repeated rows get equal results; an
-empty table gives no rows.
+allows, with score 0; very long URLs are scored whole; repeated rows get equal
+results each; an empty table gives no rows; a null page_id keeps its row.
 """
 
 from __future__ import annotations
@@ -27,11 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_by_key, stored
+
 ORDER = 5
-CONTEXTS = 1 << 15
-GRAMS = 1 << 16
+HELD_OUT = 5
 # Words of hosts that seed the rejected model.
-SEED_TERMS = ("casino", "pills", "bets", "spam", "ads", "porn", "viagra", "poker", "loan")
+SEED_TERMS = (
+    "ads", "adult", "bet", "bets", "betting", "bingo", "casino", "cialis", "clickbait", "cracked", "dating", "escort", "gambling", "hookup", "jackpot",
+    "keygen", "loan", "loans", "lottery", "malware", "nude", "payday", "pharma", "phishing", "pills", "poker", "popup", "porn", "replica", "scam",
+    "sex", "slots", "spam", "spyware", "tracker", "viagra", "warez", "xxx",
+)
 # Fixed values: (verdict, host, path start).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,121 +63,118 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all positions of all texts: row, and for each order the context bucket and n-gram bucket (order, position)."""
+def _scored_part(url: Column) -> Column:
+    """What the models read: everything after ``://``."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit("")).cast("binary")
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window) of all positions of all texts: a byte and the ORDER bytes before it, as one number."""
     framed = [b"\x02" * ORDER + t.lower() + b"\x03" for t in texts]
-    raw = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"".join(framed), np.uint8).astype(np.int64)
     size = np.fromiter(map(len, framed), np.int64, len(framed))
     row = np.repeat(np.arange(len(framed)), size)
-    start = np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(np.arange(len(raw)) - start >= ORDER)
-    ctx, gram = np.zeros((ORDER + 1, len(at)), np.int64), np.zeros((ORDER + 1, len(at)), np.int64)
-    h = np.full(len(at), 97, np.uint32)
-    for k in range(ORDER + 1):
-        if k:
-            h = (h ^ raw[at - k]) * np.uint32(2654435761)
-            h ^= h >> np.uint32(15)
-        ctx[k] = (h * np.uint32(2246822519)) >> np.uint32(17)
-        g = (h ^ (raw[at] + np.uint32(257))) * np.uint32(3266489917)
-        gram[k] = ((g ^ (g >> np.uint32(13))) * np.uint32(668265263)) >> np.uint32(16)
-    return row[at], ctx, gram, size - ORDER
-
-
-def _log_likelihood(table: dict, ctx: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    p = np.full(ctx.shape[1], 1 / 256)
-    for k in range(ORDER + 1):
-        n, kinds, c = table["n"][k][ctx[k]], table["kinds"][k][ctx[k]], table["c"][k][gram[k]]
-        seen = n > 0
-        p = np.where(seen, (np.minimum(c, n) + kinds * p) / np.maximum(n + kinds, 1), p)
-    return np.log(np.maximum(p, 1e-12))
-
-
-def score(texts: list[bytes], models: dict) -> np.ndarray:
-    """Mean log-likelihood difference per character, accepted minus rejected."""
-    if not texts:
-        return np.zeros(0)
-    row, ctx, gram, size = _codes(texts)
-    return np.bincount(row, _log_likelihood(models["accept"], ctx, gram) - _log_likelihood(models["reject"], ctx, gram), len(texts)) / size
+    at = np.flatnonzero(np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size) >= ORDER)
+    window = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        window = window << 8 | raw[at - k]
+    return row[at], window
+
+
+def _order_counts(window: np.ndarray, count: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: count of its last order + 1 bytes, count of their context, and how many bytes follow that."""
+    gram = window & ((1 << 8 * (order + 1)) - 1)
+    grams, own = np.unique(gram, return_inverse=True)
+    c = np.bincount(own, count, len(grams))
+    contexts, of = np.unique(grams >> 8, return_inverse=True)
+    n, kinds = np.bincount(of, c, len(contexts)), np.bincount(of, c > 0, len(contexts))
+    return c[own], n[of][own], kinds[of][own]
+
+
+def witten_bell(window: np.ndarray, count: np.ndarray, p: np.ndarray, orders) -> np.ndarray:
+    """Probabilities of the last bytes of ``window`` after ``orders``, from those of the order before."""
+    for order in orders:
+        c, n, kinds = _order_counts(window, count, order)
+        p = np.where(n > 0, (c + kinds * p) / np.maximum(n + kinds, 1), p)
+    return p
+
+
+def log_ratios(counted: DataFrame) -> DataFrame | None:
+    """(w, n, d): log-likelihood difference, accepted minus rejected, of each window of ``counted`` (w, accept, reject, n)."""
+    low = counted.groupBy(F.col("w").bitwiseAND(F.lit(0xFFFF)).alias("g")).agg(F.sum("accept").alias("a"), F.sum("reject").alias("r")).collect()  # 256 * 257 rows at most
+    pairs = np.array([r["g"] for r in low], np.int64)
+    sides = [np.array([r[k] for r in low], float) for k in ("a", "r")]
+    if not all(x.sum() > 0 for x in sides):
+        return None
+    order = np.argsort(pairs)
+    known = pairs[order], [witten_bell(pairs, x, np.full(len(pairs), 1 / 256), (0, 1))[order] for x in sides]
+    shared = counted.sparkSession.sparkContext.broadcast(known)
 
+    def run(batches):
+        parts = [[batch.column(k).to_numpy() for k in range(4)] for batch in batches]
+        if not parts:
+            return
+        w, accept, reject, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        keys, start = shared.value
+        at = np.searchsorted(keys, w & 0xFFFF)
+        logs = [np.log(witten_bell(w, x.astype(float), p[at], range(2, ORDER + 1))) for x, p in zip((accept, reject), start, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n), pa.array(logs[0] - logs[1])], names=["w", "n", "d"])
 
-def _scored_part(url: Column) -> Column:
-    """What the models read: everything after ``://``."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit("")).cast("binary")
+    dealt = counted.select("w", "accept", "reject", "n").repartition(F.shiftright("w", 8).bitwiseAND(F.lit(0xFFFF)))
+    return dealt.mapInArrow(run, "w long, n long, d double")
 
 
-def fit(pages: DataFrame, rules=RULES, seeds=SEED_TERMS) -> dict | None:
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    seeded = host.rlike(r"(^|[.\-])(" + "|".join(seeds) + r")([.\-]|$)")
-    rule = rule_column(host, path, rules)["verdict"]
-    side = F.when(host == "", F.lit(None)).when(seeded, "reject").when(rule == "block", F.lit(None)).otherwise("accept")
-    rows = pages.select(side.alias("side"), _scored_part(F.col("url")).alias("t"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held")).filter("side is not null")
+def scored(rows: DataFrame) -> DataFrame:
+    """(_row, score) of ``rows`` (_row, t, side, held): mean log-likelihood difference a character; no rows without both sides."""
 
-    def count(batches):
-        total: dict[tuple, int] = {}
+    def spread(batches):
         for batch in batches:
-            sides = np.array(batch.column(0).to_pylist()) == "accept"
-            row, ctx, gram, _ = _codes(batch.column(1).to_pylist())
-            for k in range(ORDER + 1):
-                key = (sides[row].astype(np.int64) << 40) | (np.int64(k) << 36) | (ctx[k] << 17) | gram[k]
-                u, c = np.unique(key, return_counts=True)
-                for x, n in zip(u.tolist(), c.tolist(), strict=True):
-                    total[x] = total.get(x, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["k", "n"])
-
-    counted = rows.filter("not held").select("side", "t").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    # A gram bucket keeps its largest context only, so at most 2 * (ORDER + 1) * GRAMS rows come to the driver.
-    grams = counted.groupBy(F.expr("shiftright(k, 36)").alias("o"), F.expr("k & 65535").alias("g")).agg(F.sum("n").alias("n"))
-    contexts = counted.groupBy(F.expr("shiftright(k, 36)").alias("o"), F.expr("shiftright(k, 17) & 32767").alias("x")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    models = {side: {name: np.zeros((ORDER + 1, size), np.float64) for name, size in (("c", GRAMS), ("n", CONTEXTS), ("kinds", CONTEXTS))} for side in ("accept", "reject")}
-    got = grams.toPandas()
-    more = contexts.toPandas()
-    for flag, side in ((1, "accept"), (0, "reject")):
-        a, b = got[got["o"].to_numpy() >> 4 == flag], more[more["o"].to_numpy() >> 4 == flag]
-        models[side]["c"][a["o"].to_numpy() & 15, a["g"].to_numpy()] = a["n"]
-        models[side]["n"][b["o"].to_numpy() & 15, b["x"].to_numpy()] = b["n"]
-        models[side]["kinds"][b["o"].to_numpy() & 15, b["x"].to_numpy()] = b["kinds"]
-    if not models["accept"]["n"].any() or not models["reject"]["n"].any():
-        return None
+            row, w = windows(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(w)], names=["_row", "w"])
 
-    def bins(batches):
-        """Held-out scores in 401 fixed bins by side: their count doesn't grow with the corpus."""
-        total = np.zeros((2, 401), np.int64)
+    def count(batches):
+        """Counts of one batch at a time: memory doesn't grow with the partition."""
         for batch in batches:
-            s = score(batch.column(1).to_pylist(), models)
-            at = np.clip(np.round(s * 50) + 200, 0, 400).astype(int)
-            np.add.at(total, ((np.array(batch.column(0).to_pylist()) == "accept").astype(int), at), 1)
-        side, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(at), pa.array(total[side, at])], names=["side", "at", "n"])
-
-    held = rows.filter("held").select("side", "t").mapInArrow(bins, "side long, at long, n long").groupBy("side", "at").agg(F.sum("n").alias("n")).collect()
+            row, w = windows(batch.column(0).to_pylist())
+            side = batch.column(1).to_numpy()[row]
+            own, at = np.unique(w, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.bincount(at, use, len(own)).astype(np.int64)) for use in (side == 1, side == 2, np.ones(len(w))))], names=["w", "accept", "reject", "n"])
+
+    learns = F.when(F.col("held") | F.col("side").isNull(), 0).when(F.col("side") == "accept", 1).otherwise(2)
+    counted = rows.select("t", learns.cast("long").alias("s")).mapInArrow(count, "w long, accept long, reject long, n long")
+    counted = stored(counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("accept", "reject", "n")]), "url_windows")
+    ratios = log_ratios(counted)
+    if ratios is None:
+        return rows.select("_row", F.lit(0.0).alias("score")).filter("false")
+    each = rows.select("_row", "t").mapInArrow(spread, "_row long, w long")
+    met = join_by_key(each, stored(ratios, "url_ratios"), "w", "n")
+    return met.groupBy("_row").agg(F.round(F.avg("d"), 9).alias("score"))  # rounded: the order of a sum isn't fixed
+
+
+def threshold(judged: DataFrame) -> float:
+    """The middle of the best plateau of balanced accuracy, from held-out scores in 401 fixed bins by side."""
+    at = F.least(F.greatest(F.round(F.col("score") * 50) + 200, F.lit(0)), F.lit(400)).cast("int")
     total = np.zeros((2, 401))
-    for r in held:
-        total[r["side"], r["at"]] = r["n"]
-    models["threshold"] = 0.0
-    if total[0].sum() and total[1].sum():  # middle of the best plateau of balanced accuracy
-        below = np.concatenate([np.zeros((2, 1)), np.cumsum(total, 1)], 1)
-        gain = below[0] / total[0].sum() + 1 - below[1] / total[1].sum()
-        best = np.flatnonzero(gain >= gain.max() - 1e-12)
-        models["threshold"] = float((best[len(best) // 2] - 0.5 - 200) / 50)
-    return models
+    for r in judged.filter("held and side is not null").groupBy((F.col("side") == "accept").cast("int").alias("s"), at.alias("at")).agg(F.count("*").alias("n")).collect():
+        total[r["s"], r["at"]] = r["n"]
+    if not (total[0].sum() and total[1].sum()):
+        return 0.0
+    below = np.concatenate([np.zeros((2, 1)), np.cumsum(total, 1)], 1)
+    gain = below[0] / total[0].sum() + 1 - below[1] / total[1].sum()
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    return float((best[len(best) // 2] - 0.5 - 200) / 50)
 
 
 def judge(pages: DataFrame, rules=RULES, seeds=SEED_TERMS) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
-    models = fit(pages, rules, seeds)
-    shared = pages.sparkSession.sparkContext.broadcast(models)  # fixed size
-    kind = pages.schema["page_id"].dataType.simpleString()
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), rule_column(host, path, rules).alias("_r"), _scored_part(F.col("url")).alias("t"))
-    rows = rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("verdict"), "t")
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            texts = batch.column(5).to_pylist()
-            s = score(texts, m) if m is not None else np.zeros(len(texts))
-            limit = m["threshold"] if m is not None else 0.0
-            verdict = [v or ("allow" if not t or x >= limit else "block") for v, x, t in zip(batch.column(4).to_pylist(), s, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(verdict, pa.string()), pa.array(s, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    seeded = F.col("host").rlike(r"(^|[.\-])(" + "|".join(seeds) + r")([.\-]|$)")
+    side = F.when(F.col("host") == "", F.lit(None)).when(seeded, "reject").when(F.col("_r.verdict") == "block", F.lit(None)).otherwise("accept")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), rule_column(host, path, rules).alias("_r"), _scored_part(F.col("url")).alias("t"), (F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0).alias("held"))
+    rows = rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("by_rule"), "t", side.alias("side"), "held", F.monotonically_increasing_id().alias("_row"))
+    rows = stored(rows, "urls")  # from here on a row keeps its number
+    judged = rows.join(stored(scored(rows), "url_scores"), "_row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    limit = threshold(judged)
+    allowed = (F.length("t") == 0) | (F.col("score") >= limit)
+    verdict = F.coalesce("by_rule", F.when(allowed, "allow").otherwise("block"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
