@@ -4,7 +4,11 @@ Documents become token ids (byte-level BPE) plus an end id; longer ones are cut
 into full pieces, of which only the first may be shorter.  What must be packed
 globally is then a histogram of at most ``capacity`` piece lengths, so the
 search runs on counts on the driver, whatever the number of documents, and its
-plan has a row per length and filling.  Pieces find their place by their rank
+plan has a row per length and filling.  The incumbent is the better one of
+best fit and bulk bin completion; small groups of its bins are then taken
+apart and completed anew, which gathers the waste of many bins in one until it
+is empty; a branch and bound on counts follows where the lower bound is still
+missed.  Pieces find their place by their rank
 within their length: a running count over (partition, length) plus the rank
 that each piece got when it was written, so no group meets in one task.
 
@@ -34,6 +38,10 @@ CACHE_ENTRIES = 400_000
 #: What may be spent: nodes of one search, and steps inside fillings of all.
 NODES = 20_000
 STEPS = 1_000_000
+#: Rounds of repacking, and the bins that take part.
+REPACKS = 60_000
+REPACK_BINS = 4096
+IDLE = 10_000  # rounds without any gain that end it
 # The pre-tokenizer pattern of the vocabulary's format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
@@ -45,8 +53,9 @@ class WordEncoder:
 
     A space between two characters that aren't white space always starts a new
     pre-token, so a text is encoded chunk by chunk and chunks are remembered
-    (``CACHE_ENTRIES`` at most).  Ids equal those of ``tokenizers`` for the
-    same file; tests hold them against it.
+    (``CACHE_ENTRIES`` at most).  Added tokens of the file inside a text become
+    their one id.  Ids equal those of ``tokenizers`` for the same file; tests
+    hold them against it.
     """
 
     def __init__(self, path: str):
@@ -54,7 +63,12 @@ class WordEncoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens with flags aren't supported")
+        special = {t["content"]: t["id"] for t in added}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         alphabet = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(printable))}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -62,6 +76,11 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or self.cut.search(text) is None:
+            return self._ordinary(text)
+        return b"".join(self.added[part] if at % 2 else self._ordinary(part) for at, part in enumerate(self.cut.split(text)))
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ") if _ODD_SPACE.search(text) is None else _SEAM.split(text)
@@ -263,13 +282,72 @@ def branch_and_bound(counts: dict[int, int], capacity: int, best: list[tuple[tup
     return best
 
 
+def _fullest(pieces: list[int], room: int) -> list[int]:
+    """Places in ``pieces`` of a filling of ``room`` that has the least waste, of early pieces where it can."""
+    reach, mask = [1] * (len(pieces) + 1), (1 << (room + 1)) - 1
+    for k in range(len(pieces) - 1, -1, -1):  # sums of the pieces from k on, a bit each
+        reach[k] = reach[k + 1] | (reach[k + 1] << pieces[k]) & mask
+    left, taken = reach[0].bit_length() - 1, []
+    for k, x in enumerate(pieces):
+        if left >= x and reach[k + 1] >> (left - x) & 1:
+            taken.append(k)
+            left -= x
+    return taken
+
+
+def repacked(best: list[tuple[tuple, int]], capacity: int, least: int, rounds: int = REPACKS) -> list[tuple[tuple, int]]:
+    """``best`` after ``rounds`` times taking a few of its bins apart and completing them anew around the largest piece.
+
+    The new bins stay if they are fewer, or as many with the waste less evenly
+    spread.  All bins with waste take part, or REPACK_BINS of them with the
+    most waste; the choice is the same on every run.
+    """
+    size = sum(m for _, m in best)
+    order = sorted((capacity - sum(x * n for x, n in fill), fill, many) for fill, many in best)
+    bins: list[list[int]] = []
+    rest: list[tuple[tuple, int]] = []
+    for waste, fill, many in reversed(order):
+        take = min(many, REPACK_BINS - len(bins)) if fill[0][0] < capacity else 0
+        bins += [[x for x, n in fill for _ in range(n)] for _ in range(take)]
+        if many > take:
+            rest.append((fill, many - take))
+    rng, better = np.random.default_rng(len(bins)), 0
+    for step in range(rounds):
+        if size <= least or len(bins) < 2 or step - better > IDLE:
+            break
+        chosen = set(rng.integers(0, len(bins), int(rng.integers(2, 20))).tolist())
+        if step % 50 == 0:
+            chosen.add(min(range(len(bins)), key=lambda k: sum(bins[k])))
+        pool, made = sorted((x for k in chosen for x in bins[k]), reverse=True), []
+        while pool:
+            largest = pool.pop(0)
+            got = set(_fullest(pool, capacity - largest))
+            made.append([largest, *(x for k, x in enumerate(pool) if k in got)])
+            pool = [x for k, x in enumerate(pool) if k not in got]
+        squares = sum(sum(b) ** 2 for b in made) - sum(sum(bins[k]) ** 2 for k in chosen)
+        if len(made) < len(chosen) or len(made) == len(chosen) and squares >= 0:
+            better = step if squares > 0 else better
+            size -= len(chosen) - len(made)
+            places = sorted(chosen)
+            for k, b in zip(places, made, strict=False):
+                bins[k] = b
+            for k in reversed(places[len(made) :]):
+                bins[k] = bins[-1]
+                bins.pop()
+    fills: dict[tuple, int] = {}
+    for b in bins:
+        fill = tuple((x, b.count(x)) for x in sorted(set(b), reverse=True))
+        fills[fill] = fills.get(fill, 0) + 1
+    return [*rest, *fills.items()]
+
+
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
     """Fillings ((length, how often), ...) with the number of bins that use each.
 
     Bin completion around the largest piece, in bulk: a filling is used as
     often as the counts allow, so there are about as many steps as lengths.
-    Where that or the best-fit solution has more bins than the lower bound, the
-    better one is the incumbent of a branch and bound.
+    Where that and the best-fit solution have more bins than the lower bound,
+    the better one is repacked and becomes the incumbent of a branch and bound.
     """
     counts = {int(k): int(v) for k, v in counts.items() if v > 0}
     least = lower_bound(counts, capacity)
@@ -292,6 +370,9 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
                     del left[k]
         if sum(m for _, m in bulk) < size:
             best, size = bulk, sum(m for _, m in bulk)
+        if size > least:
+            best = repacked(best, capacity, least)
+            size = sum(m for _, m in best)
     return branch_and_bound(counts, capacity, best, least) if size > least else best
 
 

@@ -63,7 +63,6 @@ def test_pieces_equal_the_tokenizer(spark):
 
     path = vocabulary()
     reference = Tokenizer.from_file(path)
-    reference.encode_special_tokens = True
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, length string")
     rows = sorted(packing.pack(docs, path).collect(), key=lambda r: (r["doc_id"], r["piece"]))
     assert rows[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
