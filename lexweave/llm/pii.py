@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from bisect import bisect_left
 from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             free = at + 1
         at = text.find("@", free)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m.groups()):
             out.append((*m.span(), 1))
     for m in _CARD.finditer(text):
         if m.end() - m.start() < 12:
@@ -154,6 +154,10 @@ _SPAN = "struct<start:long,end:long,kind:int>"
 _CAND = "struct<start:long,end:long,inst:long,seed:boolean,patterns:array<string>>"
 
 
+def _instance(value: str) -> int:
+    return xxhash.xxh64_intdigest(value.encode()) - 2**63
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: base spans and candidates, with a row number for later joins."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -170,8 +174,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
                 free = candidates(text, base)
                 free += keyed(text, base, {(s, e) for s, e, _, _ in free})
-                cand = [{"start": s, "end": e, "inst": (zlib.crc32(text[s:e].encode()) << 31) ^ zlib.adler32(text[s:e].encode()), "seed": seed, "patterns": p} for s, e, p, seed in free]
-                cand += [{"start": s, "end": e, "inst": (zlib.crc32(text[s:e].encode()) << 31) ^ zlib.adler32(text[s:e].encode()), "seed": True, "patterns": [f"key:{m[1].lower()}"]}
+                cand = [{"start": s, "end": e, "inst": _instance(text[s:e]), "seed": seed, "patterns": p} for s, e, p, seed in free]
+                cand += [{"start": s, "end": e, "inst": _instance(text[s:e]), "seed": True, "patterns": [f"key:{m[1].lower()}"]}
                          for s, e, _ in base if (m := _KEY.search(text, max(0, s - 32), s))]
                 found.append(cand)
                 rows.append(number)
