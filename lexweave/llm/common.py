@@ -1,44 +1,23 @@
-"""Shared storage: intermediate tables in the cluster's checkpoint folder, sampling, logistic regression."""
+"""Intermediate tables, sampling, model fits on bounded samples, joins with hot keys."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import pickle
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has no such setting (local tests) a temporary
-    folder is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            conf = current.get()
-        else:
-            conf = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
-            spark.sparkContext.setCheckpointDir(conf)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf
+from ..storage import stored as _stored
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    release_shuffles(spark)
-    back = spark.read.schema(schema).parquet(path)
-    back.stored_at = path
+    back = _stored(df, what)
+    release_shuffles(df.sparkSession)
     return back
 
 
@@ -63,12 +42,33 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
-def hash_sample(df: DataFrame, key: str, wanted: int, total: int) -> DataFrame:
-    """About ``wanted`` rows of ``total``, chosen by a hash of ``key``: the same rows on every run."""
-    if total <= wanted:
-        return df
-    share = int(2**32 * wanted / total)
-    return df.filter(F.expr(f"(xxhash64(`{key}`, 'sample') & 4294967295) < {share}"))
+def hash_sample(df: DataFrame, key: str | list[str], wanted: int, total: int) -> DataFrame:
+    """About ``wanted`` rows of ``total``, chosen by a hash of ``key``: the same on every run, rows with an equal key once."""
+    key = [key] if isinstance(key, str) else key
+    if total > wanted:
+        share = int(2**32 * wanted / total)
+        df = df.filter((F.xxhash64(*[F.col(f"`{k}`") for k in key], F.lit("sample")).bitwiseAND(F.lit(4294967295))) < share)
+    return df.dropDuplicates(key)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that ``df`` doesn't have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """``fit(rows)`` of a bounded sample, computed by one task so that the driver holds its result only."""
+
+    def run(batches):
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got is not None else fit([])
 
 
 def fit_logistic(x_rows: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray, y: np.ndarray, weight: np.ndarray,
@@ -77,7 +77,7 @@ def fit_logistic(x_rows: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray,
 
     ``x_rows`` holds (indices, values) per row, ``y`` labels in [0, 1] (soft
     labels allowed).  Returns the sparse weights, dense weights and the bias.
-    The rows are a bounded sample, so this runs on the driver.
+    The rows are a bounded sample.
     """
     n = len(y)
     size = np.fromiter((len(i) for i, _ in x_rows), np.int64, n)

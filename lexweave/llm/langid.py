@@ -25,22 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fit_in_task
+
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 500
 CENTROIDS = 3
-MAX_LANGUAGES = 200
 MAX_DISTANCE = 1.5
 UNKNOWN = "und"
 
 #: code point -> itself if a letter, else 0
-_LETTER = np.array([c if chr(c).isalpha() else 0 for c in range(0x30000)], np.uint32)
+_LETTER = np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 def buckets(text: str) -> np.ndarray:
     """Bucket of each character n-gram; empty if the text has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(points < len(_LETTER), _LETTER[np.minimum(points, len(_LETTER) - 1)], points)
+    points = _LETTER[points]
     if not points.any():
         return np.zeros(0, np.int64)
     points = np.concatenate([[0], points, [0]]).astype(np.uint32)
@@ -107,16 +108,20 @@ def fit(docs: DataFrame) -> dict | None:
     idf = np.full(DIM, np.log(1.0 + total) + 1, np.float32)
     rows = rows[rows["b"] >= 0]
     idf[rows["b"].to_numpy()] = np.log((1.0 + total) / (1.0 + rows["n"].to_numpy())) + 1
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(2**32, int(2**32 * PER_LANGUAGE / r["count"])))])
-    chosen = learn.withColumn("_share", share[F.col("lang")]).filter("(xxhash64(doc_id, 'sample') & 4294967295) < _share")
+    counts = learn.groupBy("lang").agg((F.lit(2.0**32 * PER_LANGUAGE) / F.count("*")).alias("_share"))
+    # Chosen by text, equal texts once: neither repeated ids nor repeated rows make the sample larger.
+    chosen = learn.join(F.broadcast(counts), "lang").filter("(xxhash64(text, 'sample') & 4294967295) < _share").select("lang", "text").distinct()
 
     def vectors(batches):
         for batch in batches:
             rows = [vector(t.as_py(), idf) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([w.tobytes() for _, w in rows], pa.binary())], names=["lang", "i", "w"])
 
-    got = chosen.select("text", "lang").mapInArrow(vectors, "lang string, i binary, w binary").collect()
+    found = fit_in_task(chosen.select("text", "lang").mapInArrow(vectors, "lang string, i binary, w binary"), _centroids)
+    return found if found is None else found | {"idf": idf}
+
+
+def _centroids(got: list[dict]) -> dict | None:
     got = sorted((r for r in got if r["i"]), key=lambda r: (r["lang"], bytes(r["i"]), bytes(r["w"])))
     if not got:
         return None
@@ -134,7 +139,7 @@ def fit(docs: DataFrame) -> dict | None:
             centres.append(c[j])
             own_cos = cos[near == j, j]
             spread.append(float(np.quantile(1 - own_cos, 0.99)) if len(own_cos) else 1.0)
-    return {"idf": idf, "langs": langs, "centres": np.ascontiguousarray(np.stack(centres).T), "spread": np.array(spread)}
+    return {"langs": langs, "centres": np.ascontiguousarray(np.stack(centres).T), "spread": np.array(spread)}
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fit_platt, hash_sample, text_bytes
+from .common import fit_in_task, fit_logistic, fit_platt, hash_sample, text_bytes
 from .features import DIM, groups, mean_weight, sparse_row, word_codes
 
 TRAIN_ROWS = 2000
@@ -72,7 +72,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict |
     """Weights and calibration, or None without both classes."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("_y"))
     chosen = hash_sample(marks, "doc_id", rows, marks.count())
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text_bytes().alias("_bytes"), F.col("_y").cast("double"))
+    # One text for each id: repeated ids don't make the sample larger.
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_y").alias("_y"))
+    texts = own.select("doc_id", text_bytes().alias("_bytes"), F.col("_y").cast("double"))
 
     def featurise(batches):
         for batch in batches:
@@ -84,7 +86,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict |
                 val.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["k", "y", "i", "v"])
 
-    got = texts.mapInArrow(featurise, "k string, y double, i binary, v binary").collect()
+    return fit_in_task(texts.mapInArrow(featurise, "k string, y double, i binary, v binary"), _fit)
+
+
+def _fit(got: list[dict]) -> dict | None:
     got.sort(key=lambda r: (r["k"], bytes(r["i"])))
     y = np.array([r["y"] for r in got])
     if len(y) == 0 or not ((y > 0.5).any() and (y <= 0.5).any()):
