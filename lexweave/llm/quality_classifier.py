@@ -1,9 +1,11 @@
 """Operator 8: quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every document, one group on
-the form of the text and one on toxic words.  Expectation-maximisation over
-the histogram of vote patterns (at most 3 ** labellers rows, from all
-documents) estimates each labeller's accuracy and each pattern's posterior.
+Heuristic labellers vote good, bad or nothing on every document; those that
+look at one aspect (``ASPECTS``: marks, noise, toxic words) overlap.
+Expectation-maximisation over the histogram of vote patterns (at most
+3 ** labellers rows, from all documents) estimates for each aspect the share of
+bad documents, each labeller's rates in both classes and each pattern's
+posterior; a document is good if it is so in every aspect.
 The posteriors of a hash sample of at most ``TRAIN_ROWS`` distinct documents, half of
 them bad if there are so many, then train a linear scorer over hashed n-grams
 and the labellers' measures; the scorer, calibrated on a fifth of the sample
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fit_platt, hash_sample, stored, text_bytes
+from .common import fit_in_task, fit_logistic, fit_platt, free_name, hash_sample, stored, text_bytes
 from .features import DIM, groups, mean_weight, sparse_row, word_codes
 from .quality_rules import repeated_words
 
@@ -35,6 +37,7 @@ TRAIN_ROWS = 2000
 LEXICON_ROWS = 1500
 LEXICON_WORDS = 400
 PREFIX = 5
+SHORT = 20
 KEEP = 0.5
 GOOD, BAD, NONE = 0, 1, 2
 # Seed list of insults; frequent words of the corpus languages.
@@ -43,6 +46,19 @@ FUNCTION_WORDS = frozenset("the of and to in is that for it was de la le les et
 _STRIP = b".,;:!?\"'()[]"
 
 
+#: ASCII characters that are neither letters, digits, white space nor control characters.
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+
+
+def marks(raw: np.ndarray, n: int) -> tuple[float, float]:
+    """Runs of marks and marks that stand alone, by the number of words."""
+    mark = np.concatenate([[False, False], _MARK[raw], [False]])
+    gap = np.concatenate([[True, True], raw <= 32, [True]])
+    runs = mark[2:-1] & mark[1:-2] & ~mark[:-3]
+    alone = mark[2:-1] & gap[1:-2] & gap[3:]
+    return float(runs.sum()) / n, float(alone.sum()) / n
+
+
 def measures(text: bytes, words: list[bytes], codes: np.ndarray, lexicons: list[frozenset]) -> np.ndarray:
     """Shares that labellers and scorer look at."""
     n = max(len(words), 1)
@@ -64,37 +80,51 @@ def measures(text: bytes, words: list[bytes], codes: np.ndarray, lexicons: list[
         count[ord(".")] / n,
         *(float(sum(w in lex for w in plain)) for lex in lexicons[:3]),
         float(sum(w[:PREFIX] in lexicons[3] for w in plain)) if lexicons[3] else 0.0,
+        *marks(np.frombuffer(text, np.uint8), n),
+        count[_MARK].sum() / chars,
     ])
 
 
-N_FORM, N_TOXIC = 8, 4
+N_FORM = 11
+#: Labellers of one aspect overlap and are modelled together: a text is bad if it is in one of these ways.  With how
+#: many accusations an aspect starts as bad.
+ASPECTS = {"marks": ((0, 2, 3, 8, 9, 10), 1), "noise": ((1, 4, 5, 6, 7), 1), "toxic": ((11, 12, 13, 14), 2)}
 
 
 def votes(m: np.ndarray) -> str:
-    """One digit per labeller: eight on form, four on toxic words."""
-    n = m[0]
+    """One digit per labeller: eleven on form, four on toxic words.
 
-    if n < 20:
+    A form labeller accuses beyond its limit, finds a text good within half of
+    it and says nothing between, nor about a text of under SHORT words.
+    """
+    if m[0] < SHORT:
         form = [NONE] * N_FORM
     else:
-        form = [BAD if x else NONE for x in (m[1] >= 0.05, m[2] >= 0.5, m[3] >= 0.2, m[4] >= 0.3, m[5] >= 0.2, n < 2000 and m[6] <= 0.2, m[7] >= 0.8, m[8] <= 0.01)]
+        over = [m[1] / 0.05, m[2] / 0.5, m[3] / 0.2, m[4] / 0.3, m[5] / 0.2, varied(m[0]) / max(m[6], 1e-9), m[7] / 0.8, 0.01 / max(m[8], 1e-9), m[14] / 0.2, m[15] / 0.2, m[16] / 0.1]
+        form = [BAD if x >= 1 else GOOD if x <= 0.5 else NONE for x in over]
     return "".join(map(str, form + [BAD if x > 0 else GOOD for x in m[10:14]]))
 
 
-def expectation_maximisation(patterns: list[str], counts: np.ndarray, at: slice, sure: int = 1, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def varied(n: float) -> float:
+    """The least share of distinct words that a text of ``n`` words may have: it falls as texts get longer."""
+    return 0.2 * min(1.0, float(np.sqrt(2000 / n)) / 2)
+
+
+def expectation_maximisation(patterns: list[str], counts: np.ndarray, at: tuple[int, ...], sure: int = 1, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """P(bad) per pattern and the table [labeller, class, vote] of vote probabilities.
 
     Each labeller has its own rates in both classes; a labeller that says
-    nothing about a document is left out there.  The start takes documents
-    with at least ``sure`` accusations for bad.
+    nothing about a document is left out there.  The share of bad documents is
+    estimated along with them.  The start takes documents with at least
+    ``sure`` accusations for bad.
     """
-    v = np.array([[int(c) for c in p[at]] for p in patterns])
+    v = np.array([[int(p[k]) for k in at] for p in patterns])
     one = np.eye(3)[v]  # pattern, labeller, vote
     bad = (v == BAD).sum(1)
     post = np.where(bad >= sure, 0.97, np.where(bad > 0, 0.3, 0.01))
-    prior = min(max(float((post * counts).sum() / counts.sum()), 1e-3), 0.5)
     rates = np.zeros((v.shape[1], 2, 3))
     for _ in range(rounds):
+        prior = min(max(float((post * counts).sum() / counts.sum()), 1e-3), 0.5)
         for c, w in ((0, 1 - post), (1, post)):
             rates[:, c] = (np.einsum("p,plv->lv", w * counts, one) + 0.01) / ((w * counts).sum() + 0.03)
         told = (one * (np.log(rates[:, 1]) - np.log(rates[:, 0])))[:, :, :NONE]
@@ -152,10 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         return {"lexicons": lexicons, "w": None, "posterior": {}}
     histogram.sort(key=lambda r: r["p"])
     patterns, counts = [r["p"] for r in histogram], np.array([r["n"] for r in histogram], float)
-    form, form_rates = expectation_maximisation(patterns, counts, slice(0, N_FORM))
-    toxic, toxic_rates = expectation_maximisation(patterns, counts, slice(N_FORM, N_FORM + N_TOXIC), sure=2)
-    posterior = dict(zip(patterns, (1 - form) * (1 - toxic), strict=True))
-    label_model = {"lexicons": lexicons, "w": None, "posterior": posterior}
+    fine, rates = np.ones(len(patterns)), {}
+    for aspect, (at, sure) in ASPECTS.items():
+        bad, rates[aspect] = expectation_maximisation(patterns, counts, at, sure)
+        fine *= 1 - bad
+    posterior = dict(zip(patterns, fine.tolist(), strict=True))
+    label_model = {"lexicons": lexicons, "w": None, "posterior": posterior, "rates": rates}
     sides = docs.sparkSession.createDataFrame([(p, bool(q > KEEP)) for p, q in posterior.items()], "p string, good boolean")
     listed = voted.join(F.broadcast(sides), "p").select("good", F.explode("rows").alias("_row"))  # a row per pattern
     bad = listed.filter("not good").select("_row").distinct().orderBy("_row").limit(TRAIN_ROWS).collect()
@@ -177,11 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                 rows.append((votes(m), i.astype(np.int32).tobytes(), v.tobytes(), dense(m).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *(pa.array([r[k] for r in rows], pa.string() if k == 0 else pa.binary()) for k in range(4))], names=["k", "p", "i", "v", "d"])
 
-    got = sample.mapInArrow(featurise, "k string, p string, i binary, v binary, d binary").collect()
+    scorer = fit_in_task(sample.mapInArrow(featurise, "k string, p string, i binary, v binary, d binary"), lambda got: _fit_scorer(got, posterior, patterns, counts))
+    return label_model | (scorer or {})
+
+
+def _fit_scorer(got: list[dict], posterior: dict[str, float], patterns: list[str], counts: np.ndarray) -> dict | None:
+    """The linear scorer and its calibration, or None where the sample is on one side."""
     got.sort(key=lambda r: (r["k"], bytes(r["i"])))
     y = np.array([posterior[r["p"]] for r in got])
     if not ((y > KEEP).any() and (y <= KEEP).any()):
-        return label_model
+        return None
     x = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in got]
     d = np.stack([np.frombuffer(r["d"], np.float64) for r in got])
     held = word_codes([r["k"].encode() for r in got]) % 5 == 0
@@ -197,13 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     on_good = np.array([posterior[p] > 0.5 for p in patterns])
     share = np.where(y[test] > 0.5, counts[on_good].sum() / (y[test] > 0.5).sum(), counts[~on_good].sum() / (y[test] <= 0.5).sum())
     a, c = fit_platt(z, (y[test] > 0.5).astype(float), share * len(test) / counts.sum())
-    return {"lexicons": lexicons, "w": w, "d": dw, "b": b, "a": a, "c": c, "posterior": posterior, "form": form_rates, "toxic": toxic_rates}
+    return {"w": w, "d": dw, "b": b, "a": a, "c": c}
 
 
 def dense(m: np.ndarray) -> np.ndarray:
     """Bounded forms of the measures, and which labellers accuse."""
     v = votes(m)
-    return np.concatenate([np.minimum(m[1:10], 2.0), np.minimum(m[10:14], 3.0), [float(c == "1") for c in v]])
+    return np.concatenate([np.minimum(m[1:10], 2.0), np.minimum(m[10:14], 3.0), np.minimum(m[14:], 2.0), [float(c == "1") for c in v]])
 
 
 def score(docs: DataFrame, model: dict, keep: float = KEEP) -> DataFrame:
@@ -244,14 +281,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    run = _scorer(shared, least, 0)
+    run, helper = _scorer(shared, least, 0), free_name(docs, "bytes")
 
     def accepted(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("_bytes")
-            only = pa.RecordBatch.from_arrays([batch.column(at)], names=["_bytes"])
+            at = batch.schema.get_field_index(helper)
+            only = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
             ok = next(iter(run([only]))).column(3)
             rest = [k for k in range(batch.num_columns) if k != at]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=[batch.schema.names[k] for k in rest]).filter(ok)
 
-    return docs.withColumn("_bytes", text_bytes()).mapInArrow(accepted, docs.schema)
+    return docs.withColumn(helper, text_bytes()).mapInArrow(accepted, docs.schema)

@@ -81,7 +81,7 @@ def test_expectation_maximisation_finds_accuracies():
         patterns[p] = patterns.get(p, 0) + 1
         right.setdefault(p, []).append(t)
     keys = sorted(patterns)
-    post, rates = quality_classifier.expectation_maximisation(keys, np.array([patterns[k] for k in keys], float), slice(0, 3), sure=2)
+    post, rates = quality_classifier.expectation_maximisation(keys, np.array([patterns[k] for k in keys], float), (0, 1, 2), sure=2)
     # The prior stays at the start's share, so posteriors are decisions rather than calibrated probabilities.
     decided = sum(sum(t == (p > 0.5) for t in right[k]) for k, p in zip(keys, post, strict=True))
     assert decided / 4000 > 0.9
