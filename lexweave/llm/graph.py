@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, stored
+from .common import discard, join_by_key, stored
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (long columns u, v); root is the component's smallest node."""
+    """(node, root) for every node of ``edges`` (long columns u, v); root is the component's smallest node.
+
+    Repeated edges and loops say nothing; a node with loops only isn't
+    returned; no edges give no rows; edges with a null end are left out.
+    """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
@@ -41,7 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
         if new[0] == 0 or new == mark:
             break
         mark = new
-        now = stored(_small_star(stored(_large_star(now).distinct(), "large_star")).distinct(), "small_star")
+        large = stored(_large_star(now).distinct(), "large_star")
+        before, now = now, stored(_small_star(large).distinct(), "small_star")
+        for done in (before, large):  # what a lost executor had is read from the table of this round
+            discard(edges.sparkSession, done.stored_at)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_key, stored, text_bytes
+from .common import free_name, join_by_key, stored, text_bytes
 from .graph import components
 
 SEED = 42
@@ -96,8 +96,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct_fingerprints")
     member = components(links(fps.select("fp")))
     rooted = fps.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_fp = stored(rooted.join(ids, "root").select("fp", "component_id", "n"), "components")
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_m"))
+    per_fp = stored(join_by_key(rooted.select("root", "fp", "n"), ids, "root", "_m").select("fp", "component_id", "n"), "components")
     joined = join_by_key(marked, per_fp, "fp", "n")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -246,7 +246,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = stored(pairs, "wide_pairs")
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(distinct.select("id", F.col("k.s").alias("s"), "first"), "id")
+    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(distinct.select("id", F.col("k.s").alias("s"), F.col("first.doc_id").alias("first")), "id")
     nodes = stored(nodes, "wide_needed")
     texts = docs.select(F.col("doc_id").alias("_d"), text_bytes().alias("_bytes")).join(nodes.select("first").distinct(), F.expr("_d <=> first"), "left_semi")
     made = texts.select("_bytes").mapInArrow(sets, "s long, hashes binary")
@@ -256,14 +256,16 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int
 
 
 def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, component_id, n_words) of documents in groups of similar texts.
+    """(doc_id, h, component_id, component_h, n, n_words) of documents in groups of similar texts; h is the text's hash.
 
     Nodes are distinct shingle sets.  Two that meet in a file and whose
     fingerprints are within ``radius`` are linked if their exact shingle
     similarity is SIMILAR or more.  Members are tried with leaders first, which
     gathers groups of copies at a comparison a member; then all pairs that are
-    still in different groups are tried, so links through members count.
-    Documents without words are in no group.
+    still in different groups are tried, so links through members count.  A
+    group is named by its first (doc_id, h), of which there are n rows.
+    Documents without words or without a doc_id are in no group; ties don't
+    matter, as similarity has no order; repeated rows are members each.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -272,11 +274,13 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -
             got = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             fps = np.stack([wide_fingerprint(h) for h in got]) if got else np.zeros((0, WIDE_WORDS), np.int64)
             more = [pa.array([set_key(h) for h in got], pa.int64()), pa.array([len(h) for h in got], pa.int64()), pa.array([len(t.as_py().split()) for t in batch.column(1)], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k]) for k in range(WIDE_WORDS)), *more], names=["doc_id", *_NAMES, "s", "n_shingles", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(fps[:, k]) for k in range(WIDE_WORDS)), *more], names=["doc_id", "h", *_NAMES, "s", "n_shingles", "n_words"])
 
-    marked = docs.select("doc_id", text_bytes().alias("_bytes")).mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _NAMES) + ", s long, n_shingles long, n_words long")
+    rows = docs.filter("doc_id is not null").select("doc_id", text_bytes().alias("_bytes"), F.xxhash64("text").alias("h"))
+    marked = rows.mapInArrow(mark, f"doc_id {kind}, h long, " + ", ".join(f"{c} long" for c in _NAMES) + ", s long, n_shingles long, n_words long")
     marked = stored(marked.withColumn("k", F.struct(*_NAMES, "s")), "wide_fingerprints")
-    distinct = marked.filter("n_words > 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"))
+    own = marked.filter("n_words > 0").groupBy("k", "doc_id", "h").agg(F.count("*").alias("n"), F.min("n_shingles").alias("n_shingles"))
+    distinct = own.groupBy("k").agg(F.min(F.struct("doc_id", "h", F.col("n").alias("rows"))).alias("first"), F.sum("n").alias("n"), F.min("n_shingles").alias("n_shingles"))
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "k", *[F.col(f"k.{c}").alias(c) for c in _NAMES], "first", "n", "n_shingles"), "wide_distinct")
     members = _files(distinct)
     near = _verified(_proposed(members.withColumn("root", F.col("id")), min(NEAR_RADIUS, radius), True), distinct, docs, width)
@@ -285,12 +289,22 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -
     more = _verified(_proposed(joined, radius, False), distinct, docs, width)
     member = components(near.union(more))
     rooted = distinct.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    per_fp = stored(rooted.join(firsts, "root").select("k", "component_id", "n"), "wide_components")
-    return join_by_key(marked.filter("n_words > 0").select("doc_id", "k", "n_words"), per_fp, "k", "n").select("doc_id", "component_id", "n_words")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("c"), F.count("*").alias("_m"))
+    per_fp = stored(join_by_key(rooted.select("root", "k", "n"), firsts, "root", "_m").select("k", "c", "n"), "wide_components")
+    joined = join_by_key(marked.filter("n_words > 0").select("doc_id", "h", "k", "n_words"), per_fp, "k", "n")
+    return joined.select("doc_id", "h", F.col("c.doc_id").alias("component_id"), F.col("c.h").alias("component_h"), F.col("c.rows").alias("n"), "n_words")
 
 
 def keep_first(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``docs`` with one document of each group of similar texts: the one with the smallest doc_id."""
-    drop = similar_groups(docs, width, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    """``docs`` with one document of each group of similar texts: the one with the smallest doc_id.
+
+    Of repeated rows (same doc_id, same text) one stays; rows without words or
+    without a doc_id all stay; another text under a dropped doc_id isn't dropped.
+    """
+    id_, hash_, many = (free_name(docs, n) for n in ("drop", "drop_hash", "drop_rows"))
+    groups = stored(similar_groups(docs, width, radius), "similar_groups")
+    away = groups.filter("doc_id <> component_id OR h <> component_h OR n > 1").groupBy("doc_id", "h").agg(F.max(F.expr("CASE WHEN doc_id = component_id AND h = component_h THEN n ELSE 0 END")).alias("n"))
+    away = away.select(F.col("doc_id").alias(id_), F.col("h").alias(hash_), F.col("n").alias(many))
+    same = (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    once = docs.join(away.filter(F.col(many) > 0), same).dropDuplicates([id_, hash_]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(away, same, "left_anti").unionByName(once)
