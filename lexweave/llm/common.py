@@ -15,10 +15,12 @@ from ..storage import stored as _stored
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there."""
-    back = _stored(df, what)
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there.
+
+    Shuffle files of jobs before it go first: what they made is stored.
+    """
     release_shuffles(df.sparkSession)
-    return back
+    return _stored(df, what)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -15,7 +15,7 @@ smallest id, at its first place there.
 Defined cases: null texts have no lines; shorter and blank lines always stay;
 rows with the same doc_id count as one document, and equal rows get equal
 results; very long lines are compared whole; an empty table gives no rows;
-extra columns pass through ``dedup`` unchanged.
+extra columns pass through ``dedup`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_by_key, stored
+from .common import discard, free_name, join_by_key, release_shuffles, stored
 from .graph import components
 
 MIN_CHARS = 20
@@ -109,11 +109,11 @@ def measured(lines: DataFrame) -> DataFrame:
     for k, letter in enumerate(LETTERS):
         out = out.withColumn(f"_rest{k + 1}", F.replace(F.col(f"_rest{k}"), F.lit(letter), F.lit("")))
     left = [F.length(f"_rest{k}") for k in range(len(LETTERS) + 1)] + [F.lit(0)]
-    counts = F.lit(0).cast("long")
+    total = F.lit(0).cast("long")
     for k in range(len(LETTERS) + 1):
         n = (left[k] - left[k + 1]).bitwiseAND(F.lit(3))
-        counts = counts + F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * k)
-    return out.withColumn("counts", counts).select(*lines.columns, "len", "counts")
+        total = total + F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * k)
+    return out.withColumn("counts", total).select(*lines.columns, "len", "counts")
 
 
 def segment_rows(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +174,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, _h, drop, sources): places of the lines to drop, and the documents that keep their like."""
     classes = line_classes(docs, edits)
-    seen = _lines(docs).select("doc_id", "_h", "at", "h1", "h2")
+    # A bounded set of hash buckets spares lines that are alone the shuffle.
+    bucket = F.pmod("h1", F.lit(_BUCKETS)).cast("int")
+    seen = _lines(docs).select("doc_id", "_h", "at", "h1", "h2").join(F.broadcast(classes.select(bucket.alias("_b")).distinct()), bucket == F.col("_b"), "left_semi")
     hits = join_by_key(seen, classes, ["h1", "h2"], "n")
     # A document's places by class and place: of a class that begins here the first one stays.
     own = hits.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.struct("root", "at", "first_doc"))).alias("_all"))
@@ -184,18 +186,31 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return dropped.select("doc_id", "_h", F.col("_gone.at").alias("_drop"), F.array_sort(F.array_distinct("_gone.first_doc")).alias("_sources"))
 
 
+def report_names(docs: DataFrame) -> tuple[str, str, str]:
+    """The names of the columns that ``dedup`` adds: ``_removed``, ``_left`` and ``_sources`` where they are free."""
+    return free_name(docs, "removed"), free_name(docs, "left"), free_name(docs, "sources")
+
+
 def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and ``_removed``, ``_left`` (compared lines that stay), ``_sources``."""
-    drops = repeated_lines(docs, edits).withColumnRenamed("doc_id", "_doc").withColumnRenamed("_h", "_hash")
-    rows = docs.withColumn("_h", _text_hash())
-    both = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left")
-    cut = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), "_drop"), lambda i: F.get(F.col("_cut"), i))
-    both = both.withColumn("_cut", cut).withColumn("_stay", F.when(F.col("_drop").isNull(), F.col("_cut")).otherwise(kept))
-    left = F.size(F.filter("_stay", lambda x: F.length(F.trim(x, F.lit(" \t\r\x0b\f"))) >= MIN_CHARS))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join("_stay", "\n"))
-    return both.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_removed"), F.when(F.col("text").isNull(), 0).otherwise(left).cast("long").alias("_left"),
-        F.coalesce("_sources", F.array().cast(drops.schema["_sources"].dataType)).alias("_sources"),
-    )
+    """``docs`` with repeated lines taken out of ``text``, and (see ``report_names``) how many lines went, how
+    many compared lines stay, and the documents that keep their like."""
+    drops = stored(repeated_lines(docs, edits).toDF("_doc", "_hash", "_drop", "_sources"), "line_drops")
+    release_shuffles(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # helpers can't clash in there
+    rows = rows.select("row", F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("_h"))
+    # Only rows that lose lines need the join; a bounded set of hash buckets tells most others apart.
+    bucket = F.pmod("_h", F.lit(_BUCKETS)).cast("int")
+    hit = F.broadcast(drops.select(F.pmod("_hash", F.lit(_BUCKETS)).cast("int").alias("_b")).distinct())
+    some = rows.join(hit, bucket == F.col("_b"), "left_semi").join(drops, F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left")
+    none = rows.join(hit, bucket == F.col("_b"), "left_anti")
+    cut = F.split("row.text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_drop"), lambda i: F.get(F.col("_cut"), i))
+    some = some.select("row", "_drop", "_sources", cut.alias("_cut")).withColumn("_stay", F.when(F.col("_drop").isNull(), F.col("_cut")).otherwise(kept))
+    empty = F.array().cast(drops.schema["_sources"].dataType)
+    compared = lambda lines: F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: F.length(F.trim(x, F.lit(" \t\r\x0b\f"))) >= MIN_CHARS))).cast("long")
+    text = F.when(F.col("_drop").isNull(), F.col("row.text")).otherwise(F.array_join("_stay", "\n"))
+    names = report_names(docs)
+    own = lambda text: [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    some = some.select(*own(text), *[x.alias(n) for x, n in zip((F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), compared("_stay"), F.coalesce("_sources", empty)), names, strict=True)])
+    none = none.select(*own(F.col("row.text")), *[x.alias(n) for x, n in zip((F.lit(0).cast("long"), compared(cut), empty), names, strict=True)])
+    return some.unionByName(none)
