@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: White space at either end, with the four separators U+001C to U+001F that Java's ``\s`` lacks.
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: Unicode white space, with the four separators U+001C to U+001F.
+SPACE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: An even run of backslashes, not after another backslash.
 EVEN = r"((?<!\\)(?:\\\\)*)"
 
@@ -17,7 +17,7 @@ def sub(c: Column, old: str, new: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def escape_ntb(c: Column, bar: bool = False) -> Column:

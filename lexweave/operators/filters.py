@@ -62,8 +62,9 @@ def lower(df: DataFrame, _=None) -> DataFrame:
 
 def skip_duplicate_headword(df: DataFrame, _=None) -> DataFrame:
     """The first entry of each headword; resources take part."""
-    rank = F.row_number().over(Window.partitionBy(headword()).orderBy("part", "seq"))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    # One small row per headword is found with partial aggregation, so a headword that a third of all rows has is no hot task.
+    first = df.groupBy(headword().alias("_head")).agg(F.min(F.struct("part", "seq")).alias("_f")).select("_f.part", "_f.seq")
+    return df.join(first, ["part", "seq"], "left_semi").select(*df.columns)
 
 
 def skip_term_regex(df: DataFrame, pattern: str) -> DataFrame:
@@ -128,14 +129,18 @@ def remove_empty_dup_alt_terms(df: DataFrame, _=None) -> DataFrame:
 def prevent_duplicate_terms(df: DataFrame, _=None) -> DataFrame:
     """The whole key is unique: a repeat becomes ``key (n)`` with the smallest free n from 2.
 
-    Keys that can collide share the part before their numbers, so the rows of
-    one such root are settled in order together; roots with one row don't
-    leave the JVM.
+    Keys that can collide share the part before their numbers.  Where all rows
+    of such a root have one key, repeats are numbered in order; only roots with
+    several keys (``a`` beside ``a (2)``) are settled together, as a numbered
+    form may be taken there.
     """
     rooted = df.withColumn("_key", s_term()).withColumn("_root", F.regexp_replace("_key", r"( \(\d+\))+$", ""))
-    sizes = rooted.groupBy("_root").agg(F.count("*").alias("_n"))
-    rooted = rooted.join(sizes.filter("_n > 1"), "_root", "left")
-    single = rooted.filter("_n is null").withColumn("terms", F.when(F.col("is_data"), F.col("terms")).otherwise(F.array("_key")))
+    sizes = rooted.groupBy("_root").agg((F.min("_key") != F.max("_key")).alias("_n"))
+    rooted = rooted.join(sizes.filter("_n"), "_root", "left")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("part", "seq"))
+    single = rooted.filter("_n is null").withColumn("_at", place)
+    unique = F.when(F.col("_at") == 1, F.col("_key")).otherwise(F.concat("_key", F.lit(" ("), F.col("_at"), F.lit(")")))
+    single = single.withColumn("terms", F.when(F.col("is_data") & (F.col("_at") == 1), F.col("terms")).otherwise(F.array(unique))).drop("_at")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["part", "seq"], kind="stable")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..model import headword, s_term
+from ..storage import stored
 from .ordered import islands, numbered, running_total
 
 RULE = "\n\n" + "-" * 40 + "\n"
@@ -113,12 +114,16 @@ def resolve_links(links: DataFrame, index: DataFrame) -> DataFrame:
     return links.join(first, F.col("target") == F.col("term"), "left").select("seq", "target", "page", "target_at", F.col("page").isNull().alias("broken"))
 
 
-def resolve_aliases(aliases: DataFrame, rounds: int = 16) -> DataFrame:
-    """(alias, target) followed to the end by pointer doubling; aliases that end in a circle keep their last step."""
+def resolve_aliases(aliases: DataFrame, rounds: int = 64) -> DataFrame:
+    """(alias, target) followed to the end by pointer doubling; aliases that end in a circle keep their last step.
+
+    A chain of n steps takes log2(n) rounds, so 64 rounds end any chain.
+    """
     now = aliases.select("alias", "target")
     for _ in range(rounds):
         step = now.alias("a").join(now.select(F.col("alias").alias("_a"), F.col("target").alias("_t")).alias("b"), F.col("a.target") == F.col("_a"), "left")
-        moved = step.select("alias", F.coalesce("_t", "target").alias("target"), (F.col("_t").isNotNull() & (F.col("_t") != F.col("target")) & (F.col("_t") != F.col("alias"))).alias("_moved")).checkpoint()
+        moved = step.select("alias", F.coalesce("_t", "target").alias("target"), (F.col("_t").isNotNull() & (F.col("_t") != F.col("target")) & (F.col("_t") != F.col("alias"))).alias("_moved"))
+        moved = stored(moved, "aliases")
         again = moved.filter("_moved").limit(1).count() > 0
         now = moved.drop("_moved")
         if not again:
@@ -170,10 +175,15 @@ def prefix_groups(df: DataFrame, prefix: Column) -> DataFrame:
 
 
 def kobo_prefix(term: Column) -> Column:
-    """Two letters in lower case, padded with ``a``; other writing than Latin and Cyrillic files under ``11``."""
-    two = F.rpad(F.substring(F.regexp_replace(F.lower(term), r"[\s\x00]", ""), 1, 2), 2, "a")
-    kept = two.rlike(r"^[\p{L}]{2}$") & ~text.is_kanji(two) & ~text.is_kana(two)
-    return F.when(kept | text.is_kana(two) | text.is_kanji(two), two).otherwise("11")
+    """The page of a term, from its first two characters in lower case without white space around them.
+
+    Han characters file alone, kana as katakana, Cyrillic as it is; other
+    letters are padded with ``a``; all else files under ``11``.
+    """
+    two = F.regexp_replace(F.lower(text.strip(F.substring(term, 1, 2))), r"(?s)(?<=.)\x00$", "")
+    by_letters = F.when(two.rlike(r"^\p{L}+$"), F.rpad(two, 2, "a")).otherwise("11")
+    out = F.when(text.is_kana(two), text.hiragana_to_katakana(two)).when(text.is_cyrillic(two), two).otherwise(by_letters)
+    return F.when(text.is_kanji(two), F.substring(two, 1, 1)).otherwise(out)
 
 
 def trigram_index(df: DataFrame) -> DataFrame:

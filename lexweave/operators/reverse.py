@@ -18,12 +18,16 @@ def relevance(df: DataFrame, least: int = 3, separators: str = ".,،") -> DataFr
     """(word, part, seq, terms, rel): for each word of a definition the largest share that it has of the words of a sentence part.
 
     Words are counted where they stand, so there is no product of vocabulary
-    and entries.
+    and entries, and the work grows with the length of a definition: entries
+    are dealt out once, counts per sentence part and maxima stay in place.
     """
-    parts = F.split("defi", "[" + separators + "]")
-    tokens = df.filter("not is_data").select("part", "seq", "terms", F.explode(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(f"{WORD}{{{least},}}"), F.lit(0)))).alias("_words"))
-    shares = F.transform(F.array_distinct("_words"), lambda w: F.struct(w.alias("word"), (F.size(F.filter("_words", lambda x: x == w)) / F.size("_words")).alias("rel")))
-    return tokens.select("part", "seq", "terms", F.explode(shares).alias("_s")).groupBy("part", "seq", "terms", F.col("_s.word").alias("word")).agg(F.max("_s.rel").alias("rel"))
+    entries = df.filter("not is_data").select("part", "seq", "terms", "defi").repartition("part", "seq")
+    parts = entries.select("part", "seq", F.posexplode(F.split("defi", "[" + separators + "]")).alias("_i", "_p"))
+    words = parts.select("part", "seq", "_i", F.regexp_extract_all("_p", F.lit(f"{WORD}{{{least},}}"), F.lit(0)).alias("_w"))
+    each = words.select("part", "seq", "_i", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    counted = each.groupBy("part", "seq", "_i", "_n", "word").agg(F.count("*").alias("_c"))
+    best = counted.groupBy("part", "seq", "word").agg(F.max(F.col("_c") / F.col("_n")).alias("rel"))
+    return best.join(entries.select("part", "seq", "terms"), ["part", "seq"]).select("part", "seq", "terms", "word", "rel")
 
 
 def label(term: Column, rel: Column, show: str = "Percent", before: Column | None = None) -> Column:
@@ -50,10 +54,12 @@ def reverse(df: DataFrame, most: int = 100, least_relevance: float = 0.0, least:
 def containing(df: DataFrame, words: DataFrame, size: int = 3) -> DataFrame:
     """(word, seq): entries whose definition contains a word as a substring.
 
-    Candidates share the word's rarest-looking gram (its first ``size``
-    characters), so this is an equi join with a check and not a product.
+    Candidates share the word's first ``size`` characters, so this is an equi
+    join and not a product; what is joined are numbers and grams, texts only
+    meet candidates for the check.
     """
     longer = words.filter(F.length("word") >= size).withColumn("_g", F.substring("word", 1, size))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("defi") - (size - 1), F.lit(1))), lambda i: F.substring(F.col("defi"), i, F.lit(size))))
-    rows = df.filter("not is_data").select("seq", "defi", F.explode(grams).alias("_g"))
-    return rows.join(longer, "_g").filter(F.col("defi").contains(F.col("word"))).select("word", "seq").distinct()
+    have = df.filter("not is_data")
+    met = have.select("seq", F.explode(grams).alias("_g")).join(longer, "_g").select("seq", "word").distinct()
+    return met.join(have.select("seq", "defi"), "seq").filter(F.col("defi").contains(F.col("word"))).select("word", "seq").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from ..model import Glossary, info_dict, info_table
 from ..operators import filters, ordered
 from ..operators.sortkeys import key_columns
+from .compress import beside, compress
 from .registry import ALWAYS, DEFAULT_YES, NEVER, detect_input, detect_output
 
 log = logging.getLogger(__name__)
@@ -70,7 +71,13 @@ def convert(spark: SparkSession, args: ConvertArgs) -> Glossary:
         key = sink.sort_key if sink.sort == ALWAYS and sink.sort_key else args.sort_key or sink.sort_key or "headword_lower"
         g = in_order(g, key, args.sort_encoding)
     options = dict(args.write_options)
-    if compression in ("gzip", "bzip2"):
+    if compression in ("gzip", "bzip2") and "compression" in inspect.signature(sink.writer).parameters:
         options.setdefault("compression", compression)
-    sink.writer(g, path, **_known(sink.writer, options))
+        sink.writer(g, path, **_known(sink.writer, options))
+    elif compression:  # written plain, then compressed
+        with beside(path) as plain:
+            sink.writer(g, plain, **_known(sink.writer, options))
+            compress(plain, path, compression)
+    else:
+        sink.writer(g, path, **_known(sink.writer, options))
     return g

@@ -160,15 +160,21 @@ def edlin(g: Glossary, folder: str, prev_link: bool = True) -> None:
         json.dump(info_dict(g.info) | {"root": root, "wordCount": count, "prev_link": prev_link}, out, ensure_ascii=False, indent="\t")
 
 
-def crawler(g: Glossary, folder: str) -> None:
-    """A file per entry under hex shards of its key."""
+def crawler(g: Glossary, folder: str, compression: str = "") -> None:
+    """A file per entry under hex shards of its key; a second entry with such a file adds a digest of its definition."""
+    from ..plans.compress import OPEN
+
+    opened = OPEN[compression or "plain"]
     os.makedirs(folder, exist_ok=True)
     count = 0
-    for r in _rows(g.entries.filter("not is_data").withColumn("key", s_term()).withColumn("at", text.shard_path(s_term())), "part", "seq"):
-        path, count = os.path.join(folder, r["at"]), count + 1
+    for r in _rows(g.entries.filter("not is_data").withColumn("head", F.array_join(F.transform("terms", lambda t: text.escape_ntb(t, bar=True)), "|")).withColumn("at", text.shard_path(s_term())), "part", "seq"):
+        path, ending, count = os.path.join(folder, r["at"]), f".{compression}" if compression else "", count + 1
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as out:
-            out.write(r["key"].replace("\n", "\\n") + "\n" + r["defi"])
+        if os.path.exists(path + ending):
+            path += "-" + hashlib.sha1(r["defi"].encode()).hexdigest()[:4]
+        path += ending
+        with opened(path, "wt", encoding="utf-8") as out:
+            out.write(r["head"] + "\n" + r["defi"])
     save_resources(g, os.path.join(folder, "res"))
     with open(os.path.join(folder, "info.json"), "w", encoding="utf-8") as out:
         json.dump({"name": "", "wordCount": count} | info_dict(g.info), out, ensure_ascii=False, indent="\t")

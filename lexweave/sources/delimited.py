@@ -135,9 +135,9 @@ def crawler_rows(name: str, content: bytes):
             yield resource(name.rpartition("/res/")[2], content)
         return
     head, _, defi = content.decode("utf-8", "replace").partition("\n")
-    from .formats import split_bar
+    from .formats import split_bar_ntb
 
-    yield entry(split_bar(head), defi)
+    yield entry(split_bar_ntb(head), defi)
 
 
 def read_crawler(spark: SparkSession, path: str) -> Glossary:

@@ -17,12 +17,19 @@ import zipfile
 from collections import defaultdict
 from itertools import groupby
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import quoteattr
 
 from .base import decode_text, entry, info, resource
 
 _BAR = re.compile(r"(?:(?<!\\)(?:\\\\)*)\|")
 
 
+def split_bar_ntb(text: str) -> list[str]:
+    """Terms of a line with escaped bars, newlines, tabs and backslashes."""
+    plain = {"n": "\n", "t": "\t"}
+    return [re.sub(r"\\([\\|nt])", lambda m: plain.get(m[1], m[1]), p) for p in _BAR.split(text)]
+
+
 def split_bar(text: str) -> list[str]:
     return [re.sub(r"\\([\\|])", r"\1", p) for p in _BAR.split(text)]
 
@@ -134,37 +141,56 @@ def edlin(name: str, content: bytes):
 
 # Markup tags and what they become.
 DSL_TAGS = {"b": ("<b>", "</b>"), "i": ("<i>", "</i>"), "u": ("<u>", "</u>"), "sup": ("<sup>", "</sup>"), "sub": ("<sub>", "</sub>"), "c": ('<font color="green">', "</font>"), "p": ('<i class="p"><font color="green">', "</font></i>"),
-            "ex": ('<span class="ex"><font color="steelblue">', "</font></span>"), "com": ("", ""), "*": ('<span class="sec">', "</span>"), "trn": ("", ""), "trs": ("", ""), "!trs": ("", ""), "'": ("<u>", "</u>"), "lang": ("", ""), "t": ('<!-- T --><span class="transcription">', "</span>")}
+            "ex": ('<span class="ex"><font color="steelblue">', "</font></span>"), "com": ("", ""), "*": ('<span class="sec">', "</span>"), "trn": ("", ""), "trs": ("", ""), "!trs": ("", ""), "!trn": ("", ""), "'": ('<u class="accent">', "</u>"), "lang": ("", ""), "t": ('<font face="Helvetica" class="dsl_t">', "</font>")}
+
+
+_DSL_AUDIO, _DSL_IMAGE = (".wav", ".mp3"), (".bmp", ".gif", ".ico", ".jpeg", ".jpg", ".png", ".svg", ".tif", ".tiff", ".webp")
+_DSL_PARTS = re.compile(
+    r"\\(?P<kept>.)|\[m(?P<indent>\d*)\]|(?P<shut>\[/m\])|\[(?P<link>ref|url|s|video)(?: target=\"?(?P<target>[^\]\"]*)\"?)?[^\]]*\](?P<inner>.*?)\[/(?P=link)\]"
+    r"|<<(?P<ref>.*?)>>|\[c (?P<color>[\w#]+)\]|\[(?P<end>/?)(?P<tag>b|i|u|sup|sub|c|p|ex|com|\*|trn|!trn|trs|!trs|'|lang|t)(?: [^\]]*)?\]"
+    r"|(?P<joined>\n[ \t]*(?=\[m))|(?P<line>\n[ \t]*)|(?P<key>~)|(?P<text>[^\\\[<\n~]+|.)",
+    re.S,
+)
 
 
-def dsl_html(text: str, abbreviations: dict[str, str] | None = None) -> str:
-    """Square-bracket markup as HTML; a backslash keeps the next character."""
+def _dsl_link(kind: str, inner: str, target: str | None) -> str:
+    inner = re.sub(r"\\(.)", r"\1", inner)
+    to, shown = target or inner, html.escape(inner, quote=False)
+    if kind == "ref":
+        return f"<a href={quoteattr('bword://' + to)}>{shown}</a>"
+    if kind == "url":
+        return f"<a href={quoteattr(to if '://' in to else 'http://' + to)}>{shown}</a>"
+    if inner.lower().endswith(_DSL_AUDIO):
+        return f'<object type="audio/x-wav" data="{inner}" width="40" height="40"><param name="autoplay" value="false" /></object>'
+    return f'<img align="top" src="{inner}" alt="{inner}" />' if inner.lower().endswith(_DSL_IMAGE) else ""
+
+
+def dsl_html(text: str, key: str = "") -> str:
+    """Square-bracket markup as HTML; a backslash keeps the next character, ``~`` is the headword."""
     out: list[str] = []
-    pattern = re.compile(r"\\(.)|\[m(\d?)\]|\[/m\]|\[(ref|url|s|video)[^\]]*\](.*?)\[/\3\]|<<(.*?)>>|\[c ([\w#]+)\]|\[(/?)(b|i|u|sup|sub|c|p|ex|com|\*|trn|trs|!trs|'|lang|t)(?: [^\]]*)?\]|([^\\\[<]+|.)", re.S)
-    for m in pattern.finditer(text):
-        if m[1] is not None:
-            out.append(html.escape(m[1], quote=False))
-        elif m[0].startswith("[m"):
-            out.append(f'<p style="padding-left:{m[2] or 1}em;margin:0">')
-        elif m[0] == "[/m]":
+    for m in _DSL_PARTS.finditer(re.sub(r"\{\{.*?\}\}", "", text, flags=re.S)):
+        kind = m.lastgroup
+        if kind == "kept":
+            out.append(html.escape(m["kept"], quote=False))
+        elif kind == "indent":
+            out.append(f'<p style="padding-left:{m["indent"] if m["indent"].strip("0") else "0.3"}em;margin:0">')
+        elif kind == "shut":
             out.append("</p>")
-        elif m[3]:
-            inner = m[4]
-            if m[3] == "ref":
-                out.append(f'<a href="bword://{html.escape(inner)}">{html.escape(inner, quote=False)}</a>')
-            elif m[3] == "url":
-                out.append(f'<a href="{html.escape(inner)}">{html.escape(inner, quote=False)}</a>')
-            else:
-                out.append(f'<object type="audio/x-wav" data="{html.escape(inner)}"></object>' if inner.lower().endswith((".wav", ".mp3", ".ogg")) else f'<img src="{html.escape(inner)}" />')
-        elif m[5] is not None:
-            out.append(f'<a href="bword://{html.escape(m[5])}">{html.escape(m[5], quote=False)}</a>')
-        elif m[6]:
-            out.append(f'<font color="{m[6]}">')
-        elif m[8]:
-            out.append(DSL_TAGS[m[8]][1 if m[7] else 0])
-        else:
-            out.append(html.escape(m[9], quote=False).replace("~", "~"))
-    return "".join(out).replace("\n", "<br/>")
+        elif m["link"]:
+            out.append(_dsl_link(m["link"], m["inner"], m["target"]))
+        elif kind == "ref":
+            out.append(_dsl_link("ref", m["ref"], None))
+        elif kind == "color":
+            out.append(f'<font color="{m["color"]}">')
+        elif m["tag"]:
+            out.append(DSL_TAGS[m["tag"]][1 if m["end"] else 0])
+        elif kind == "line":
+            out.append("<br/>")
+        elif kind == "key":
+            out.append(html.escape(key, quote=False))
+        elif kind == "text":
+            out.append(html.escape(m["text"], quote=False))
+    return "".join(out)
 
 
 def dsl(name: str, content: bytes):
@@ -192,10 +218,10 @@ def dsl(name: str, content: bytes):
                 subs[-1][1].append(line)
             else:
                 main.append(line)
-        yield entry([clean(t) for t in terms], dsl_html("\n".join(main)), "h")
+        yield entry([clean(t) for t in terms], dsl_html("\n".join(main), clean(terms[0])), "h")
         for title, lines in subs:
             if title:
-                yield entry(title, dsl_html("\n".join(lines)), "h")
+                yield entry(title, dsl_html("\n".join(lines), title), "h")
 
     for line in text.replace("\r\n", "\n").split("\n"):
         if line.startswith("#"):
