@@ -133,11 +133,12 @@ def trim_filter(spark, sf_dir):
     return filters.non_empty_defi(filters.trim_whitespaces(documents(spark, sf_dir))).select("seq", "defi")
 
 
-@query("select doc_id as seq, array_to_string(list_sort(list_distinct(list_filter(string_split(text, ' ')[1:8], lambda x: x <> ''))), ' ') as terms from documents where len(list_filter(string_split(text, ' ')[1:8], lambda x: x <> '')) > 0")
+@query("""with w as (select doc_id as seq, unnest(string_split(text, ' ')) as w, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from documents),
+f as (select seq, w, min(i) as i from w where w <> '' group by seq, w) select seq, string_agg(w, ' ' order by i) as terms from f group by seq""")
 def distinct_alternates(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
-    e = entries(d, "doc_id", F.slice(F.split("text", " "), 1, 8), F.lit("x"))
-    return filters.remove_empty_dup_alt_terms(filters.non_empty_term(e)).select("seq", F.array_join(F.array_sort("terms"), " ").alias("terms"))
+    """All words of a text as terms, each once, in the order of their first places."""
+    e = entries(_table(spark, sf_dir, "documents"), "doc_id", F.split("text", " "), F.lit("x"))
+    return filters.remove_empty_dup_alt_terms(filters.non_empty_term(e)).select("seq", F.array_join("terms", " ").alias("terms"))
 
 
 @query("select seq, head from (select doc_id as seq, string_split(text, ' ')[1] as head, row_number() over (partition by string_split(text, ' ')[1] order by doc_id) as r from documents) where r = 1")
@@ -348,12 +349,13 @@ def redirects(spark, sf_dir):
     return got.select("seq", F.array_join(F.concat(F.array("p_name"), F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1)))), "|").alias("terms"))
 
 
-@query("""with f as (select o_custkey as lemma, o_orderpriority as form from orders where o_orderkey % 3 = 0), g as (select lemma, array_to_string(list_sort(list(distinct form)), '|') as forms from f group by lemma)
-select c_custkey::varchar || coalesce('|' || forms, '') as terms from customer left join g on c_custkey = lemma where c_custkey % 2 = 0 union all select lemma::varchar || '|' || forms from g where lemma not in (select c_custkey from customer where c_custkey % 2 = 0)""")
+@query("""with g as (select o_custkey as lemma, array_to_string(list_sort(list(distinct o_orderpriority)), '|') as forms from orders group by o_custkey)
+select s_suppkey::varchar || coalesce('|' || forms, '') as terms from supplier left join g on s_suppkey = lemma union all select lemma::varchar || '|' || forms from g where lemma not in (select s_suppkey from supplier)""")
 def lemma_join(spark, sf_dir):
-    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
-    e = entries(c.filter("c_custkey % 2 = 0"), "c_custkey", F.array(F.col("c_custkey").cast("string")), F.col("c_name"))
-    forms = o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("lemma"), F.col("o_orderpriority").alias("form"))
+    """Suppliers get the forms of the orders with their number; other numbers are lemmas of their own."""
+    s, o = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "orders")
+    e = entries(s, "s_suppkey", F.array(F.col("s_suppkey").cast("string")), F.col("s_name"))
+    forms = o.select(F.col("o_custkey").cast("string").alias("lemma"), F.col("o_orderpriority").alias("form"))
     return relational.attach_lemmas(e, forms).select(F.array_join("terms", "|").alias("terms"))
 
 
@@ -430,7 +432,9 @@ def linked_list(spark, sf_dir):
     return ordered.neighbours(parts(spark, sf_dir), F.col("seq"), "prev", "next").select("seq", "prev", "next")
 
 
-@query()
+@query("""with recursive r as (select doc_id, strlen(text) as s, row_number() over (order by doc_id) as n from documents), b as (select (n - 1) // 100 as k, sum(s)::bigint as s from r group by 1),
+f as (select k, s as used, 0::bigint as part from b where k = 0 union all select b.k, case when f.used >= 100000 then b.s else f.used + b.s end, case when f.used >= 100000 then f.part + 1 else f.part end from f join b on b.k = f.k + 1)
+select doc_id as seq, part as file_part from r join f on (n - 1) // 100 = k""")
 def size_parts(spark, sf_dir):
     return relational.size_parts(documents(spark, sf_dir), F.octet_length("defi"), 100_000, 100).select("seq", F.col("file_part").cast("long").alias("file_part"))
 
@@ -440,7 +444,8 @@ def ebook_groups(spark, sf_dir):
     return relational.prefix_groups(documents(spark, sf_dir), sortkeys.ebook_prefix(headword()))
 
 
-@query()
+@query("""with h as (select string_split(text, ' ')[1] as h from documents), t as (select h, lower(trim(substr(h, 1, 2), chr(9) || chr(10) || chr(13) || ' ')) as two from h)
+select case when regexp_full_match(two, '\\p{L}+') then rpad(two, 2, 'a') else '11' end as prefix, min(h) as first, max(h) as last, count(*) as n from t group by 1""")
 def kobo_groups(spark, sf_dir):
     return relational.prefix_groups(documents(spark, sf_dir), relational.kobo_prefix(headword()))
 
