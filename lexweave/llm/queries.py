@@ -20,7 +20,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     probe = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return read_back(segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
+    out = read_back(segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: Escapes add a backslash inside ``<|``, after ``<`` and any backslashes; a role's own backslashes and line breaks are two characters.
+_CHAT_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+r as (select *, replace(replace(role, '\', '\\'), chr(10), '\n') as shown from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(24 + length(shown) + len(regexp_extract_all(shown, '<\\*\|')) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::bigint as formatted_chars
+from r group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": _CHAT_SQL}
