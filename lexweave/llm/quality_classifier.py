@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import fit_in_task, fit_logistic, fit_platt, free_name, hash_sample, stored, text_bytes
+from .common import fit_in_task, fit_logistic, fit_platt, hash_sample, stored, text_bytes
 from .features import DIM, groups, mean_weight, sparse_row, word_codes
 from .quality_rules import repeated_words
 
@@ -281,14 +282,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    run, helper = _scorer(shared, least, 0), free_name(docs, "bytes")
+    run = _scorer(shared, least, 0)
 
     def accepted(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(helper)
-            only = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
-            ok = next(iter(run([only]))).column(3)
-            rest = [k for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in rest], names=[batch.schema.names[k] for k in rest]).filter(ok)
+            ok = next(iter(run([pa.RecordBatch.from_arrays([batch.column(1)], names=["text"])]))).column(3)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(ok)
 
-    return docs.withColumn(helper, text_bytes()).mapInArrow(accepted, docs.schema)
+    # All columns in one, so that any name passes.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_bytes().alias("text"))
+    kept = rows.mapInArrow(accepted, StructType([StructField("row", docs.schema)]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
