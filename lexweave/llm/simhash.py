@@ -113,6 +113,8 @@ ORDERS = 4  # orders of the bits, each cut into blocks
 #: Only a prefilter: of 256 bits 39 differ on average at a similarity of 0.8, with a deviation of 6.
 WIDE_RADIUS = 64
 NEAR_RADIUS = 30  # pairs to try first: they usually are similar
+NEAREST = 2  # members to try before all others
+SKETCH = 256  # smallest shingle hashes that are compared before a pair is made
 SIMILAR = 0.8
 _BITS = np.stack([np.arange(64 * WIDE_WORDS), *(np.random.default_rng(SEED + k).permutation(64 * WIDE_WORDS) for k in range(1, ORDERS))])
 
@@ -193,19 +195,26 @@ def _files(distinct: DataFrame) -> DataFrame:
     return stored(met.join(distinct.select("id", *_NAMES), "id"), "wide_members")
 
 
-def _proposed(members: DataFrame, radius: int, leaders_only: bool) -> DataFrame:
+def _proposed(members: DataFrame, radius: int, leaders_only: bool = False, nearest: int = 0) -> DataFrame:
     """(u, v): pairs within ``radius`` in a file and of different ``root``; with ``leaders_only`` each member
-    is paired with the nearest of its file's leaders, the members that no earlier leader was near."""
+    is paired with the nearest of its file's leaders, the members that no earlier leader was near; with
+    ``nearest`` with so many of the nearest members before it.  Where members have a sketch (column hashes),
+    only pairs that may be similar by it are returned."""
+    columns = ["file", "id", "root", *_NAMES, *(["hashes"] if "hashes" in members.columns else [])]
 
     def pair(frames):
         """Runs of one file, in order; what members are compared with is carried over batch borders."""
+        sketches: list[np.ndarray] = []
         now, seen, ids, roots, size = None, np.zeros((64, WIDE_WORDS), np.uint64), np.zeros(64, np.int64), np.zeros(64, np.int64), 0
         for pdf in frames:
             out_u, out_v = [], []
             file, own, root, fp = pdf["file"].to_numpy(), pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf[_NAMES].to_numpy().view(np.uint64)
+            own_sketches = [np.frombuffer(h, "<u8") for h in pdf["hashes"]] if "hashes" in pdf else []
             for j in range(len(file)):
                 if file[j] != now:
                     now, size = file[j], 0
+                    sketches = []
+                sketches += own_sketches[j : j + 1]
                 if size:
                     away = np.bitwise_count(seen[:size] ^ fp[j]).sum(1)
                     if leaders_only:
@@ -215,26 +224,73 @@ def _proposed(members: DataFrame, radius: int, leaders_only: bool) -> DataFrame:
                             out_v.append(ids[best])
                             continue
                     else:
-                        near = (away <= radius) & (roots[:size] != root[j])
-                        out_u += [own[j]] * int(near.sum())
-                        out_v += ids[:size][near].tolist()
+                        near = np.flatnonzero((away <= radius) & (roots[:size] != root[j]))
+                        if 0 < nearest < len(near):
+                            near = near[np.argpartition(away[near], nearest)[:nearest]]
+                        if own_sketches:
+                            near = near[[may_be_similar(own_sketches[j], sketches[k]) for k in near.tolist()]] if len(near) else near
+                        out_u += [own[j]] * len(near)
+                        out_v += ids[near].tolist()
                 if size == len(ids):
                     seen, ids, roots = np.concatenate([seen, seen]), np.concatenate([ids, ids]), np.concatenate([roots, roots])
                 seen[size], ids[size], roots[size] = fp[j], own[j], root[j]
                 size += 1
             yield pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
 
-    pairs = members.repartition("file").sortWithinPartitions("file", "id").mapInPandas(pair, "u long, v long")
+    pairs = members.select(*columns).repartition("file").sortWithinPartitions("file", "id").mapInPandas(pair, "u long, v long")
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Those of ``pairs`` whose shingle sets have a similarity of at least SIMILAR; sets are made anew for their nodes only."""
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """From the SKETCH smallest hashes of two shingle sets: exact for sets with fewer, else with four deviations' room."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return len(both) >= SIMILAR * (len(a) + len(b) - len(both)) - 1e-9
+    last = np.union1d(a, b)[:SKETCH][-1]
+    return (both <= last).sum() / SKETCH >= SIMILAR - 4 * np.sqrt(SIMILAR * (1 - SIMILAR) / SKETCH)
+
+
+def _crowded(members: DataFrame, radius: int) -> DataFrame:
+    """(id): members that have another within ``radius`` in a file, of a different ``root``."""
+
+    def run(frames):
+        now, seen, ids, roots, met, size = None, np.zeros((64, WIDE_WORDS), np.uint64), np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, bool), 0
+        for pdf in frames:
+            out: list[int] = []
+            file, own, root, fp = pdf["file"].to_numpy(), pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf[_NAMES].to_numpy().view(np.uint64)
+            for j in range(len(file)):
+                if file[j] != now:
+                    now, size = file[j], 0
+                if size == len(ids):
+                    seen, ids, roots, met = (np.concatenate([x, x]) for x in (seen, ids, roots, met))
+                near = (np.bitwise_count(seen[:size] ^ fp[j]).sum(1) <= radius) & (roots[:size] != root[j])
+                out += ids[:size][near & ~met[:size]].tolist()
+                met[:size] |= near
+                seen[size], ids[size], roots[size], met[size] = fp[j], own[j], root[j], near.any()
+                out += [own[j]] if met[size] else []
+                size += 1
+            yield pd.DataFrame({"id": np.array(out, np.int64)})
+
+    return members.repartition("file").sortWithinPartitions("file", "id").mapInPandas(run, "id long").distinct()
+
+
+def _sets(ids: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """(id, hashes): the shingle sets of the nodes ``ids``, or their ``most`` smallest hashes, made anew from the texts."""
 
     def sets(batches):
         for batch in batches:
             got = [shingle_set(t.as_py(), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in got], pa.int64()), pa.array([h.astype("<u8").tobytes() for h in got], pa.binary())], names=["s", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in got], pa.int64()), pa.array([h[:most].astype("<u8").tobytes() for h in got], pa.binary())], names=["s", "hashes"])
+
+    nodes = ids.distinct().join(distinct.select("id", F.col("k.s").alias("s"), F.col("first.doc_id").alias("first")), "id")
+    nodes = stored(nodes, "wide_needed")
+    texts = docs.select(F.col("doc_id").alias("_d"), text_bytes().alias("_bytes")).join(nodes.select("first").distinct(), F.expr("_d <=> first"), "left_semi")
+    made = texts.select("_bytes").mapInArrow(sets, "s long, hashes binary")
+    return stored(nodes.select("id", "s").join(made, "s").groupBy("id").agg(F.first("hashes").alias("hashes")), "wide_sets")
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets have a similarity of at least SIMILAR; sets are made anew for their nodes only."""
 
     def compare(batches):
         for batch in batches:
@@ -246,11 +302,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = stored(pairs, "wide_pairs")
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(distinct.select("id", F.col("k.s").alias("s"), F.col("first.doc_id").alias("first")), "id")
-    nodes = stored(nodes, "wide_needed")
-    texts = docs.select(F.col("doc_id").alias("_d"), text_bytes().alias("_bytes")).join(nodes.select("first").distinct(), F.expr("_d <=> first"), "left_semi")
-    made = texts.select("_bytes").mapInArrow(sets, "s long, hashes binary")
-    hashes = stored(nodes.select("id", "s").join(made, "s").groupBy("id").agg(F.first("hashes").alias("hashes")), "wide_sets")
+    hashes = _sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), distinct, docs, width)
     both = pairs.join(hashes.withColumnRenamed("id", "u").withColumnRenamed("hashes", "a"), "u").join(hashes.withColumnRenamed("id", "v").withColumnRenamed("hashes", "b"), "v")
     return stored(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "wide_edges")
 
@@ -261,8 +313,9 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -
     Nodes are distinct shingle sets.  Two that meet in a file and whose
     fingerprints are within ``radius`` are linked if their exact shingle
     similarity is SIMILAR or more.  Members are tried with leaders first, which
-    gathers groups of copies at a comparison a member; then all pairs that are
-    still in different groups are tried, so links through members count.  A
+    gathers groups of copies at a comparison a member, then with their nearest
+    members of other groups; in the end all pairs that are still in different
+    groups are tried, so links through members count.  A
     group is named by its first (doc_id, h), of which there are n rows.
     Documents without words or without a doc_id are in no group; ties don't
     matter, as similarity has no order; repeated rows are members each.
@@ -283,11 +336,14 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = WIDE_RADIUS) -
     distinct = own.groupBy("k").agg(F.min(F.struct("doc_id", "h", F.col("n").alias("rows"))).alias("first"), F.sum("n").alias("n"), F.min("n_shingles").alias("n_shingles"))
     distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "k", *[F.col(f"k.{c}").alias(c) for c in _NAMES], "first", "n", "n_shingles"), "wide_distinct")
     members = _files(distinct)
-    near = _verified(_proposed(members.withColumn("root", F.col("id")), min(NEAR_RADIUS, radius), True), distinct, docs, width)
-    found = stored(components(near), "wide_near")
-    joined = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    more = _verified(_proposed(joined, radius, False), distinct, docs, width)
-    member = components(near.union(more))
+    edges = _verified(_proposed(members.withColumn("root", F.col("id")), min(NEAR_RADIUS, radius), leaders_only=True), distinct, docs, width)
+    member = stored(components(edges), "wide_near")
+    for nearest in (NEAREST, 0):
+        joined = members.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        if not nearest:  # only those with others left nearby, with sketches: pairs that can't be similar end where they meet
+            joined = joined.join(_sets(_crowded(joined, radius), distinct, docs, width, SKETCH), "id")
+        edges = edges.union(_verified(_proposed(joined, radius, nearest=nearest), distinct, docs, width))
+        member = stored(components(edges), "wide_near")
     rooted = distinct.join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("c"), F.count("*").alias("_m"))
     per_fp = stored(join_by_key(rooted.select("root", "k", "n"), firsts, "root", "_m").select("k", "c", "n"), "wide_components")
