@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from ..model import Glossary, info_dict, info_table
 from ..operators import filters, ordered
 from ..operators.sortkeys import key_columns
+from ..storage import stored
 from .compress import beside, compress
 from .registry import ALWAYS, DEFAULT_YES, NEVER, detect_input, detect_output
 
@@ -69,7 +70,8 @@ def convert(spark: SparkSession, args: ConvertArgs) -> Glossary:
     wanted = sink.sort == ALWAYS or args.sort or (sink.sort == DEFAULT_YES and args.sort is not False)
     if wanted and sink.sort != NEVER:
         key = sink.sort_key if sink.sort == ALWAYS and sink.sort_key else args.sort_key or sink.sort_key or "headword_lower"
-        g = in_order(g, key, args.sort_encoding)
+        # Ranges are found by a sample, which would run readers and filters a second time.
+        g = in_order(Glossary(stored(g.entries, "filtered"), g.info), key, args.sort_encoding)
     options = dict(args.write_options)
     if compression in ("gzip", "bzip2") and "compression" in inspect.signature(sink.writer).parameters:
         options.setdefault("compression", compression)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text
 from ..model import entries, headword, s_term
 from ..operators import filters, ordered, profile, relational, reverse, sortkeys
+from ..storage import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -219,7 +220,7 @@ def format_share(spark, sf_dir):
 @query("""with e as (select doc_id, string_split(text, ' ')[1] as h, lang, text from documents where text <> ''), t as (select doc_id, trim(h, chr(9) || chr(10) || chr(13) || ' ') as h, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as d from e)
 select doc_id as seq, h as head, length(d) as n, row_number() over (order by lower(h), doc_id) as rank from t where h <> ''""")
 def clean_and_sort(spark, sf_dir):
-    clean = filters.apply(documents(spark, sf_dir)).withColumn("_k", F.lower(headword()))
+    clean = stored(filters.apply(documents(spark, sf_dir)), "filtered").withColumn("_k", F.lower(headword()))  # ranges are found by a sample of it
     return ordered.numbered(clean, "rank", ("_k", "part", "seq")).select("seq", headword().alias("head"), F.length("defi").cast("long").alias("n"), "rank")
 
 
