@@ -7,9 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from ..sinks import package
+from ..sinks import package, slob
 from ..sinks import text as text_sinks
-from ..sources import bundles, delimited, formats
+from ..sources import bundles, containers, delimited, formats
 from ..sources.base import decoded
 
 ALWAYS, DEFAULT_YES, DEFAULT_NO, NEVER = "always", "default yes", "default no", "never"
@@ -57,6 +57,8 @@ FORMATS: dict[str, Format] = {f.name: f for f in (
     Format("HtmlDir", (".hdir",), None, package.html_dir),
     Format("Dicformids", (".mids",), bundles.read_dicformids, package.dicformids, ALWAYS, "dicformids"),
     Format("AppleDict", (".apple",), _file(formats.apple_source), package.apple_source),
+    Format("Aard2Slob", (".slob",), _file(containers.slob), slob.slob),
+    Format("OctopusMdict", (".mdx",), containers.read_mdict),
     Format("Dictunformat", (".dictunformat",), _file(formats.dictunformat)),
     Format("ABBYYLingvoDSL", (".dsl",), _file(formats.dsl)),
     Format("EDICT2", (".u8",), delimited.read_cedict),
