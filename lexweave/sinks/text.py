@@ -70,6 +70,7 @@ def tabfile(g: Glossary, path: str, enable_info: bool = True, word_title: bool =
     if not file_size_approx:
         write_lines(rows, path, head, compression=compression)
         return
+    head += "##file_count\t-1\n" if enable_info else ""
     parted = relational.size_parts(rows, F.octet_length("line") + 1, file_size_approx, 100)
     for k in range((parted.agg(F.max("file_part")).first()[0] or 0) + 1):
         write_lines(parted.filter(F.col("file_part") == k), f"{path}.{k}" if k else path, head if not k else "", compression=compression)

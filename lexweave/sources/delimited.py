@@ -7,9 +7,10 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import chinese, text
 from ..model import Glossary, info_table
 from .base import as_entries, decoded, entry, header_rows, info, no_info, numbered_lines, resource
+from .bundles import existing
 
 
 def resources_of(spark: SparkSession, path: str):
@@ -23,15 +24,37 @@ def resources_of(spark: SparkSession, path: str):
     return files.select(F.lit(1 << 62).alias("seq"), F.lit(0).alias("part"), F.array(name).alias("terms"), F.concat(F.lit("File: "), name).alias("defi"), F.lit("b").alias("defi_format"), F.lit(True).alias("is_data"), name.alias("fname"), F.col("content").alias("data"))
 
 
+def more_parts(spark: SparkSession, path: str, count: int) -> list[str]:
+    """``path.1``, ``path.2``, … (or compressed): ``count`` files with ``path`` itself, all that are there if it is -1."""
+    found: list[str] = []
+    while count == -1 or len(found) + 1 < count:
+        name = f"{path}.{len(found) + 1}"
+        file = existing(spark, [name, f"{name}.gz", f"{name}.bz2"])[:1]
+        if not file:
+            break
+        found += file
+    return found
+
+
 def read_tabfile(spark: SparkSession, path: str, alternates: bool = True, skip_resources: bool = False) -> Glossary:
-    """``term|alternate<TAB>definition`` with escapes; leading ``##key<TAB>value`` rows are metadata."""
+    """``term|alternate<TAB>definition`` with escapes; leading ``##key<TAB>value`` rows are metadata.
+
+    ``file_count`` there says how many files the glossary has."""
     cut = F.split("value", "\t", 2)
-    rows = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "\r$", "")).filter(F.col("value").contains("\t"))
-    rows = rows.select("seq", F.get(cut, F.lit(0)).alias("t"), F.get(cut, F.lit(1)).alias("d"))
-    head, body = header_rows(rows, F.col("t").startswith("#"))
+
+    def cells(file: str):
+        rows = numbered_lines(spark, file).withColumn("value", F.regexp_replace("value", "\r$", "")).filter(F.col("value").contains("\t"))
+        return rows.select("seq", F.get(cut, F.lit(0)).alias("t"), F.get(cut, F.lit(1)).alias("d"))
+
+    head, body = header_rows(cells(path), F.col("t").startswith("#"))
     meta = [(r["k"], r["v"]) for r in head.orderBy("seq").select(F.regexp_replace("t", "^#+", "").alias("k"), text.unescape_ntb(F.col("d")).alias("v")).collect()]
+    count = dict(meta).get("file_count") or "1"
+    meta = [(k, v) for k, v in meta if k != "file_count"]
+    body = body.withColumn("part", F.lit(0))
+    for k, file in enumerate(more_parts(spark, path, int(count)), 1):
+        body = body.unionByName(cells(file).withColumn("part", F.lit(k)))
     terms = text.split_bar_unescape_ntb(F.col("t")) if alternates else F.array(text.unescape_ntb(F.col("t"), bar=True))
-    entries = as_entries(body.select("seq", terms.alias("terms"), text.unescape_ntb(F.col("d")).alias("defi")))
+    entries = as_entries(body.select("seq", "part", terms.alias("terms"), text.unescape_ntb(F.col("d")).alias("defi")))
     extra = None if skip_resources else resources_of(spark, path)
     return Glossary(entries.unionByName(extra) if extra is not None else entries, info_table(spark, meta))
 
@@ -57,17 +80,24 @@ def read_ldf(spark: SparkSession, path: str) -> Glossary:
     return Glossary(as_entries(body.select("seq", text.split_bar(F.get("lines", F.lit(0))).alias("terms"), defi.alias("defi"))), info_table(spark, meta))
 
 
-CEDICT = r"^(\S+) (\S+) \[([^\]]*)\] /(.*)/\s*$"
+CEDICT = r"^([^ ]+) ([^ ]+) \[([^\]]+)\] /(.+)/\r?$"
 
 
-def read_cedict(spark: SparkSession, path: str, traditional_title: bool = False) -> Glossary:
-    """``traditional simplified [pinyin] /definition/…/`` lines."""
+def read_cedict(spark: SparkSession, path: str, traditional_title: bool = False, colorize_tones: bool = True, summary_alternatives: bool = False) -> Glossary:
+    """``traditional simplified [pinyin] /definition/…/`` lines; with ``summary_alternatives`` the pinyin and short glosses are terms too."""
     rows = numbered_lines(spark, path).filter(~F.col("value").startswith("#") & F.col("value").rlike(CEDICT))
     part = lambda k: F.regexp_extract("value", CEDICT, k)
-    names = F.array(part(1), part(2)) if traditional_title else F.array(part(2), part(1))
-    body = F.transform(F.split(part(4), "/"), lambda d: F.concat(F.lit("<li>"), text.xml_escape(d), F.lit("</li>")))
-    defi = F.concat(F.lit("<p>"), text.xml_escape(part(3)), F.lit("</p><ul>"), F.array_join(body, ""), F.lit("</ul>"))
-    return Glossary(as_entries(rows.select("seq", F.array_distinct(F.concat(names, F.array(part(3)))).alias("terms"), defi.alias("defi"), F.lit("h").alias("defi_format"))), no_info(spark))
+    order = (1, 2) if traditional_title else (2, 1)
+    rows = rows.select("seq", F.array_distinct(F.array(*map(part, order))).alias("names"), F.replace(part(3), F.lit("u:"), F.lit("ü")).alias("pinyin"), F.split(part(4), "/").alias("glosses"))
+    spoken = F.filter(F.split("pinyin", r"\s+"), lambda s: s != "")
+    rows = rows.withColumns({"syllables": F.transform(spoken, chinese.with_tone_mark), "tones": F.transform(spoken, chinese.tone)})
+    written = F.transform("names", lambda name: chinese.syllables_html(F.split(name, ""), F.col("tones"), colorize_tones))
+    head = F.concat(F.lit("<div><big>"), F.get(written, F.lit(0)), F.lit("</big>"), F.when(F.size("names") > 1, F.concat(F.lit("\xa0/\xa0"), F.get(written, F.lit(1)))).otherwise(""))
+    head = F.concat(head, F.lit("<br><big>"), chinese.syllables_html(F.col("syllables"), F.col("tones"), colorize_tones), F.lit("</big></div>"))
+    items = F.array_join(F.transform("glosses", lambda d: F.concat(F.lit("<li>"), text.xml_escape(d, quote=False), F.lit("</li>"))), "")
+    defi = F.concat(F.lit('<div style="border: 1px solid; padding: 5px">'), head, F.lit("<div><ul>"), items, F.lit("</ul></div></div>"))
+    terms = F.concat("names", F.array("pinyin"), F.transform("glosses", chinese.summary)) if summary_alternatives else F.col("names")
+    return Glossary(as_entries(rows.select("seq", terms.alias("terms"), defi.alias("defi"), F.lit("h").alias("defi_format"))), no_info(spark))
 
 
 WIKI = "word string, pos string, etymology_text string, forms array<struct<form:string,source:string,tags:array<string>>>, senses array<struct<glosses:array<string>,raw_glosses:array<string>,tags:array<string>,form_of:array<struct<word:string>>>>, sounds array<struct<ipa:string>>, synonyms array<struct<word:string>>, antonyms array<struct<word:string>>"

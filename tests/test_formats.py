@@ -160,7 +160,13 @@ def test_sqlite_decoders():
 
 def test_line_readers(spark, tmp_path):
     (tmp_path / "d.u8").write_text("# c\n中國 中国 [Zhong1 guo2] /China/Middle/\nbad\n", encoding="utf-8")
-    assert content(read(spark, str(tmp_path / "d.u8")))[0][0] == ["中国", "中國", "Zhong1 guo2"]
+    red, orange = '<font color="red">', '<font color="orange">'
+    box = '<div style="display: inline-block">'
+    article = f'<div style="border: 1px solid; padding: 5px"><div><big>{box}{red}中</font>{orange}国</font></div></big>\xa0/\xa0{box}{red}中</font>{orange}國</font></div><br><big>{box}{red}Zhōng</font>{orange}guó</font></div></big></div><div><ul><li>China</li><li>Middle</li></ul></div></div>'
+    assert content(read(spark, str(tmp_path / "d.u8"))) == [(["中国", "中國"], article)]
+    (tmp_path / "e.u8").write_text("西安 西安 [Xi1 an1] /Xi'an (city) in the west; a & b/the/\n", encoding="utf-8")
+    g = content(read(spark, str(tmp_path / "e.u8"), summary_alternatives=True, colorize_tones=False))
+    assert g[0][0] == ["西安", "Xi1 an1", "Xi'an west b", "the"] and '<font color="">Xī</font><font color="">\'ān</font>' in g[0][1] and "a &amp; b" in g[0][1]
     (tmp_path / "w.jsonl").write_text(json.dumps({"word": "go", "pos": "verb", "forms": [{"form": "went"}], "senses": [{"glosses": ["to move"]}]}) + "\n", encoding="utf-8")
     assert content(read(spark, str(tmp_path / "w.jsonl"))) == [(["go", "went"], "<i>verb</i><ol><li>to move</li></ol>")]
     (tmp_path / "f.wordfrequency").write_text("rank\tlemma\tPoS\tblog\tnews\n1\tgo\tv\t3\t9\n", encoding="utf-8")
@@ -185,3 +191,16 @@ def test_streaming_equals_batch(spark, tmp_path):
     out = []
     fan_out(filtered_stream(text_entries(spark, str(tmp_path / "in"))), [lambda batch, n: out.extend(r["k"] for r in batch.select(s_term().alias("k")).collect())], str(tmp_path / "c")).awaitTermination()
     assert out == ["a|b"]
+
+
+def test_files_in_parts(spark, tmp_path):
+    g = Glossary(make(spark, *[([f"w{k:03}"], "x" * 50) for k in range(300)]), info_table(spark, {"name": "N"}))
+    path = str(tmp_path / "o.txt")
+    text_sinks.tabfile(g, path, file_size_approx=5000)
+    assert (tmp_path / "o.txt.1").exists() and (tmp_path / "o.txt.2").exists()
+    back = read(spark, path)
+    assert content(back) == [([f"w{k:03}"], "x" * 50) for k in range(300)] and info_dict(back.info) == {"name": "N"}
+    (tmp_path / "two.txt").write_text("##file_count\t2\na\t1\n", encoding="utf-8")
+    (tmp_path / "two.txt.1").write_text("b\t2\n", encoding="utf-8")
+    (tmp_path / "two.txt.2").write_text("c\t3\n", encoding="utf-8")
+    assert content(read(spark, str(tmp_path / "two.txt"))) == [(["a"], "1"), (["b"], "2")]

@@ -72,3 +72,12 @@ def test_trigrams_and_shards(spark):
 def test_days(spark):
     assert one(spark, "2000-01-01", lambda c: text.julian_day(c.cast("date"))) == 2451545
     assert str(one(spark, "2000-01-01", lambda c: text.from_julian_day(text.julian_day(c.cast("date"))))) == "2000-01-01"
+
+
+def test_pinyin(spark):
+    from lexweave.functions import chinese
+
+    cases = {"zhong1": "zhōng", "Guo2": "Guó", "nü3": "nǚ", "liu4": "liù", "gui1": "guī", "xiao3": "xiǎo", "ma5": "ma", "De5": "De", "r": "r", "hng4": "hng", "A4": "À", "B": "B", "an6": "an6"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r["s"]: r["m"] for r in df.select("s", chinese.with_tone_mark(df.s).alias("m")).collect()} == cases
+    assert [r[0] for r in df.select(chinese.tone(df.s)).collect()][:2] == ["1", "2"]
