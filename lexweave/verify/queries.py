@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, text
+from ..functions import chinese, html, text
 from ..model import entries, headword, s_term
 from ..operators import filters, ordered, profile, relational, reverse, sortkeys
 from ..storage import stored
@@ -535,6 +535,21 @@ def event_windows(spark, sf_dir):
     return _table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
 
 
+@query(f"""with w as (select doc_id as seq, list_filter(regexp_split_to_array(translate(regexp_replace(text, '\\([^)]+\\)', '', 'g'), '!"#$%&()*+,./:;<=>?@[\\]^_`{{|}}~', repeat(' ', 30)), '\\s+'), lambda x: x <> '') as words from documents),
+f as (select seq, words, list_filter(words, lambda x: x not in ({', '.join(repr(x) for x in chinese.STOP_WORDS)})) as telling from w)
+select seq, array_to_string((case when len(telling) > 0 then telling else words end)[1:10], ' ') as summary from f where words is not null""")
+def gloss_summary(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("seq"), chinese.summary(F.col("text")).alias("summary"))
+
+
+@query("""with s as (select p_partkey as seq, lower(string_split(p_name, ' ')[1]) as base, (p_partkey % 6)::int as n from part),
+v as (select *, case when contains(base, 'a') then 'a' when contains(base, 'e') then 'e' when contains(base, 'o') then 'o' when contains(base, 'iu') then 'u' when contains(base, 'ui') then 'i' when contains(base, 'i') then 'i' when contains(base, 'u') then 'u' end as vowel from s)
+select seq, case when n = 0 then base || '0' when n = 5 or vowel is null then base else replace(base, vowel, substr(case vowel when 'a' then 'āáǎà' when 'e' then 'ēéěè' when 'o' then 'ōóǒò' when 'i' then 'īíǐì' else 'ūúǔù' end, n, 1)) end as syllable, case when n = 0 then '' else n::varchar end as tone from v""")
+def pinyin_syllables(spark, sf_dir):
+    spoken = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lower(F.get(F.split("p_name", " "), F.lit(0))), (F.col("p_partkey") % 6).cast("string")).alias("s"))
+    return spoken.select("seq", chinese.with_tone_mark(F.col("s")).alias("syllable"), chinese.tone(F.col("s")).alias("tone"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
