@@ -194,3 +194,26 @@ def trigram_index(df: DataFrame) -> DataFrame:
 def sequential_ids(df: DataFrame) -> DataFrame:
     """``id`` from 1 in entry order."""
     return numbered(df.filter("not is_data"), "id")
+
+
+INLINE_IMAGE = 'src="(data:image/[^<>"]*)"'
+
+
+def images_to_resources(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Images inside definitions (base 64) become resources, each once; the definitions name them.
+
+    A file's name is ``prefix``, the checksum of its bytes and its type.  A
+    ``src`` that isn't base 64 is taken out.
+    """
+    inline, part = F.regexp_extract_all("defi", F.lit(INLINE_IMAGE), F.lit(1)), r"^data:image/([^;]*);base64,(.*)$"
+    bytes_of = lambda s: F.try_to_binary(F.regexp_extract(s, part, 2), F.lit("base64"))
+    name_of = lambda s: F.concat(F.lit(prefix), text.crc32hex(bytes_of(s)), F.lit("."), F.regexp_extract(s, part, 1))
+    good = lambda s: s.rlike(part) & bytes_of(s).isNotNull()
+    has = ~F.col("is_data") & F.coalesce(F.col("defi").contains('src="data:image/'), F.lit(False))
+    swap = lambda d, s: F.replace(d, F.concat(F.lit('src="'), s, F.lit('"')), F.when(good(s), F.concat(F.lit('src="./'), name_of(s), F.lit('"'))).otherwise(""))
+    named = df.withColumn("defi", F.when(has, F.aggregate(F.array_distinct(inline), F.col("defi"), swap)).otherwise(F.col("defi")))
+    found = df.filter(has).select("part", "seq", F.explode(F.array_distinct(inline)).alias("_s")).filter(good(F.col("_s")))
+    files = found.select("part", "seq", name_of(F.col("_s")).alias("fname"), bytes_of(F.col("_s")).alias("data"))
+    once = files.groupBy("fname").agg(F.min(F.struct("part", "seq")).alias("at"), F.first("data").alias("data"))
+    made = once.select("at.seq", "at.part", F.array("fname").alias("terms"), F.concat(F.lit("File: "), "fname").alias("defi"), F.lit("b").alias("defi_format"), F.lit(True).alias("is_data"), "fname", "data")
+    return named.unionByName(made.select(*df.columns))

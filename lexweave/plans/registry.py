@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from functools import partial
 
 from ..sinks import package, slob
 from ..sinks import text as text_sinks
-from ..sources import bundles, containers, delimited, formats
+from ..sources import bundles, containers, delimited, formats, wordlists
 from ..sources.base import decoded
 
 ALWAYS, DEFAULT_YES, DEFAULT_NO, NEVER = "always", "default yes", "default no", "never"
@@ -66,7 +67,7 @@ FORMATS: dict[str, Format] = {f.name: f for f in (
     Format("Wiktextract", (".jsonl",), delimited.read_wiktextract),
     Format("WordFrequency", (".wordfrequency",), delimited.read_frequency),
     Format("Wordnet", (), bundles.read_wordnet),
-    Format("Wordset", (), _file(formats.wordset, "*.json")),
+    Format("Wordset", (), lambda spark, path: decoded(spark, path, formats.wordset, "*.json", order=formats.wordset_order)),
     Format("TMX", (".tmx",), _file(formats.tmx)),
     Format("XLIFF", (".xlf", ".xliff"), _file(formats.xliff)),
     Format("Xdxf", (".xdxf",), _file(formats.xdxf)),
@@ -79,12 +80,38 @@ FORMATS: dict[str, Format] = {f.name: f for f in (
     Format("Almaany", (), _file(formats.almaany)),
     Format("AnkiApkg", (".apkg", ".colpkg"), _file(formats.anki)),
     Format("Dictcc", (), _file(formats.dict_cc)),
+    Format("Dictcc_source", (), wordlists.read_dict_cc_lines),
     Format("Dictcc_split", (), _file(formats.dict_cc_split)),
     Format("DigitalNK", (), _file(formats.digitalnk)),
     Format("MakindoMedical", (), _file(formats.makindo)),
 )}
 
 
+def register(new: Format) -> None:
+    """Add a format; a name that is taken, or a format without reader and writer, is refused."""
+    if new.name in FORMATS:
+        raise ValueError(f"format {new.name!r} exists")
+    if new.reader is None and new.writer is None:
+        raise ValueError(f"format {new.name!r} has neither reader nor writer")
+    FORMATS[new.name] = new
+
+
+def load_plugins(folder: str) -> list[str]:
+    """Register the ``FORMATS`` of every Python file in ``folder``, in order of names; returns the new names.
+
+    The files run in the driver: load only those you trust.
+    """
+    added = []
+    for file in sorted(f for f in os.listdir(folder) if f.endswith(".py") and not f.startswith("_")):
+        spec = importlib.util.spec_from_file_location(f"lexweave_plugin_{file[:-3]}", os.path.join(folder, file))
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        for new in module.FORMATS:
+            register(new)
+            added.append(new.name)
+    return added
+
+
 def split_extension(path: str) -> tuple[str, str, str]:
     """(stem, extension, compression)."""
     stem, ext = os.path.splitext(path)

@@ -51,10 +51,10 @@ _SCHEMA = "part int, n long, terms array<string>, defi string, defi_format strin
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
-def decoded(spark: SparkSession, path: str | list[str], decoder: Callable[..., Iterator[Row]], glob: str | None = None, **options) -> Glossary:
+def decoded(spark: SparkSession, path: str | list[str], decoder: Callable[..., Iterator[Row]], glob: str | None = None, order: Callable[[str], object] | None = None, **options) -> Glossary:
     """Every file under ``path`` through ``decoder(name, bytes, **options)``; files are decoded in parallel.
 
-    Files are ordered by path, rows by their place in the file.
+    Files are ordered by path or by ``order`` of it, rows by their place in the file.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
@@ -76,10 +76,12 @@ def decoded(spark: SparkSession, path: str | list[str], decoder: Callable[..., I
             yield pdf.where(pdf.notna(), None)
 
     rows = files.mapInPandas(clean, "_path string, " + _SCHEMA.split(", ", 1)[1])
-    paths = sorted(r["path"] for r in files.select("path").collect())  # names only
-    number = {p: k for k, p in enumerate(paths)}
-    part = F.create_map(*[F.lit(x) for p, k in number.items() for x in (p, k)])[F.col("_path")] if 1 < len(number) <= 1000 else F.lit(0) if len(number) <= 1 else F.abs(F.hash("_path"))
-    rows = rows.withColumns({"part": part.cast("int"), "seq": F.col("n")})
+    paths = sorted((r["path"] for r in files.select("path").collect()), key=order or str)  # names only
+    if len(paths) > 1:
+        rows = rows.join(spark.createDataFrame(list(enumerate(paths)), "part int, _path string"), "_path")
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    rows = rows.withColumn("seq", F.col("n"))
     meta = rows.filter("info_key is not null").select("part", "seq", "info_key", "info_value").orderBy("part", "seq").collect()  # a header's size
     return Glossary(rows.filter("info_key is null").select(*ENTRY_COLUMNS), info_table(spark, [(r["info_key"], r["info_value"]) for r in meta]))
 

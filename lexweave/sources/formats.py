@@ -526,6 +526,12 @@ def makindo(name: str, content: bytes):
         yield entry(title if isinstance(title, str) else title.decode("utf-8", "ignore"), text if isinstance(text, str) else text.decode("utf-8", "ignore"), "h")
 
 
+def wordset_order(path: str) -> tuple[bool, str]:
+    """Files by name, ``misc`` last."""
+    stem = path.rpartition("/")[2].rpartition(".")[0]
+    return stem == "misc", stem
+
+
 def wordset(name: str, content: bytes):
     """JSON object: word -> meanings."""
     for word, record in sorted(json.loads(content).items(), key=lambda kv: kv[0].lower().encode()):
