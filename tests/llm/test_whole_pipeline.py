@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lexweave.llm import simhash
 
 
@@ -49,3 +51,15 @@ def test_links_through_members(spark):
     order = [0, 6, 3, 1, 5, 2, 4]
     kept = {r["doc_id"] for r in simhash.keep_first(documents(spark, [chain[k] for k in order])).collect()}
     assert kept == {0}
+
+
+def test_files_of_unrelated_texts_stay_empty(spark):
+    """Blocks that are equal by chance make no file: their number would grow with the square of the texts'."""
+    rng = np.random.default_rng(5)
+    names = [*(f"f{k}" for k in range(4)), *(f"e{k}" for k in range(8))]
+    rows = rng.integers(-(2**63), 2**63, (4000, len(names)))
+    rows[1, :4] = rows[0, :4] ^ 1  # near each other, with all but one of the extreme hashes
+    rows[1, 4:11] = rows[0, 4:11]
+    made = [(k, *r, 300) for k, r in enumerate(rows.tolist())]
+    distinct = spark.createDataFrame(made, ", ".join(f"{c} long" for c in ["id", *names, "n_shingles"]))
+    assert {r["id"] for r in simhash._files(distinct).select("id").distinct().collect()} == {0, 1}
