@@ -108,10 +108,12 @@ def measured(lines: DataFrame) -> DataFrame:
     out = lines.withColumn("len", F.length("line")).withColumn("_rest0", F.col("line"))
     for k, letter in enumerate(LETTERS):
         out = out.withColumn(f"_rest{k + 1}", F.replace(F.col(f"_rest{k}"), F.lit(letter), F.lit("")))
-    left = [F.length(f"_rest{k}") for k in range(len(LETTERS) + 1)] + [F.lit(0)]
+    # A letter is one byte, so bytes tell how many went, and needn't be read for that; only what is left is counted in characters.
+    size = [F.octet_length(f"_rest{k}") for k in range(len(LETTERS) + 1)]
+    gone = [size[k] - size[k + 1] for k in range(len(LETTERS))] + [F.length(f"_rest{len(LETTERS)}")]
     total = F.lit(0).cast("long")
-    for k in range(len(LETTERS) + 1):
-        n = (left[k] - left[k + 1]).bitwiseAND(F.lit(3))
+    for k, many in enumerate(gone):
+        n = many.bitwiseAND(F.lit(3))
         total = total + F.shiftleft(n.bitwiseXOR(F.shiftright(n, 1)).cast("long"), 2 * k)
     return out.withColumn("counts", total).select(*lines.columns, "len", "counts")
 
@@ -131,11 +133,14 @@ def segment_rows(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataF
     size, longer, number = (own / parts).cast("int"), own % parts, F.col("p.number")
     start = size * (number - 1) + F.greatest(F.lit(0), longer - (parts + 1 - number)) + F.col("p.shift")
     length = size + F.when(longer >= parts + 1 - number, 1).otherwise(0)
-    key = F.xxhash64(own, number, F.substring(F.col("line"), start + 1, length)).alias("key")
+    # Places in a string are found by reading it from its start; where all characters are bytes, bytes at that place are taken.
+    segment = F.when(F.col("_bytes").isNotNull(), F.substring(F.col("_bytes"), start + 1, length)).otherwise(F.substring(F.col("line"), start + 1, length).cast("binary"))
+    key = F.xxhash64(own, number, segment).alias("key")
+    lines = lines.withColumn("_bytes", F.when(F.octet_length("line") == F.col("len"), F.col("line").cast("binary")))
 
     def keyed(places):
         listed = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(place, ("shorter", "number", "shift"), strict=True)]) for place in places])
-        return lines.select("id", "counts", "line", "len", F.explode(listed).alias("p")).select(key, "id", "counts")
+        return lines.select("id", "counts", "line", "_bytes", "len", F.explode(listed).alias("p")).select(key, "id", "counts")
 
     return keyed(index), keyed(probe)
 

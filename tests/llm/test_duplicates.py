@@ -224,3 +224,19 @@ def test_leaks(spark):
 @pytest.mark.parametrize(("a", "b", "n"), [("a b c", "a x b y c", 3), ("a b", "c", 0), ("a a", "a", 1), ("", "a", 0), ("b a", "a b", 1)])
 def test_lcs(a, b, n):
     assert decontaminate.lcs_length(a.encode().split(), b.encode().split()) == n
+
+
+def test_counts_and_segments_of_wide_characters(spark):
+    """Bytes stand for characters only where they are the same."""
+    lines = ["the owl sits on the old oak tree", "die Käuzin saß über dem Fluß, öde", "日本語の辞書 is a dictionary of words", "naïve 😀 owls eat mice at night"]
+    measured = line_dedup.measured(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    gray = lambda n: n & 3 ^ (n & 3) >> 1
+    for r in measured.collect():
+        many = [r["line"].count(x) for x in line_dedup.LETTERS]
+        many.append(len(r["line"]) - sum(many))
+        assert (r["len"], r["counts"]) == (len(r["line"]), sum(gray(n) << 2 * k for k, n in enumerate(many)))
+    texts = spark.createDataFrame([(k, n, i, line[at : at + size]) for k, line in enumerate(lines) for n in [len(line)]
+                                   for i, at, size in ((1, 0, n // 3), (2, n // 3, n // 3 + (n % 3 > 1)), (3, 2 * (n // 3) + (n % 3 > 1), n // 3 + (n % 3 > 0)))], "id long, n int, i int, part string")
+    keys = texts.selectExpr("id", "xxhash64(n, i, part) AS key")
+    index, _ = line_dedup.segment_rows(measured)
+    assert sorted(index.select("id", "key").collect()) == sorted(keys.collect())
