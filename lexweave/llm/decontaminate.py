@@ -5,10 +5,11 @@ vocabulary (0: not there).  Words are features (hashed into ``DIM``), weighted
 by inverse document frequency over all documents; words in more than
 ``COMMON`` of the items weigh ``FLOOR`` only (how many documents have a word
 doesn't matter there: a passage that a third of them share must be found too).
-A distributed randomised SVD of items and of passages from a hash sample of
-about ``SAMPLE_DOCS`` documents gives a ``RANK``-dimensional space: executors
-multiply and sum blocks, the driver gets one vocabulary x ``RANK`` matrix a
-round.  Every window of ``WINDOW`` words (stride ``STRIDE``) of every document
+A distributed randomised SVD of items and of every window of every document
+gives a ``RANK``-dimensional space: ``ITEM_ROUNDS`` of subspace iteration on
+the items choose where it starts, then in ``POWER_ROUNDS`` over all documents
+executors multiply and sum blocks and the driver gets one vocabulary x
+``RANK`` matrix a round.  Every window of ``WINDOW`` words (stride ``STRIDE``) of every document
 is projected and compared by cosine with every item.  Each pair above
 ``CANDIDATE`` is then read word by word: the longest common subsequence of the
 item with the text around the window, and the item's answer (its last
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, hash_sample, stored
+from .common import free_name, stored
 from .features import word_codes
 
 DIM = 1 << 15
@@ -48,10 +49,9 @@ WINDOW, STRIDE = 48, 12
 PARTS = WINDOW // STRIDE
 COMMON = 0.1
 FLOOR = 0.1
-SAMPLE_DOCS = 2000
-SAMPLE_TASKS = 16
-POWER_ROUNDS = 2
-CANDIDATE = 0.35
+ITEM_ROUNDS = 2
+POWER_ROUNDS = 1
+CANDIDATE = 0.25
 LEAK, LEAK_WITH_ANSWER = 0.6, 0.45
 ANSWER = 8
 MIN_ITEM = 5
@@ -258,8 +258,8 @@ def _gram(block: np.ndarray, weight: np.ndarray, feature: np.ndarray, laid: Layo
 def randomized_svd(passages: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK, rounds: int = POWER_ROUNDS) -> np.ndarray:
     """The leading right singular vectors (features x rank) of the windows of ``passages`` (column codes) and ``items``.
 
-    Subspace iteration on the Gram matrix: every round multiplies A'A with the
-    current block in the executors; their partial products are cut into strips
+    Subspace iteration on the Gram matrix, started where the items are: every
+    round multiplies A'A with the current block in the executors; their partial products are cut into strips
     and summed by strip in other tasks, so the driver gets one matrix.
     """
     n, feature = len(items.features), np.maximum(items.feature, 0)
@@ -268,6 +268,8 @@ def randomized_svd(passages: DataFrame, items: Items, weight: np.ndarray, rank:
     block = np.linalg.qr(start)[0].astype(np.float32)
     spark, strip = passages.sparkSession, 1024
     own = Layout([c.astype("<i4").tobytes() for c in items.coded])
+    for _ in range(ITEM_ROUNDS):  # a little of the block stays, for items may have fewer directions than it
+        block = np.linalg.qr(_gram(block, weight, feature, own) + np.float32(0.01) * block)[0].astype(np.float32)
 
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((block, weight, feature))  # features * rank floats
@@ -347,8 +349,7 @@ def _retrieved(docs: DataFrame, named: list, kinds) -> DataFrame | None:
     weight[0] = 0
     # A leak has LEAK_WITH_ANSWER of an item's words at least; a third of those of the shortest item must be in one window.
     least = max(1, int(LEAK_WITH_ANSWER * int(items.sizes.min()) / 3))
-    passages = stored(hash_sample(coded, ["doc_id", "h"], SAMPLE_DOCS, total).select("codes").repartition(SAMPLE_TASKS), "passages")
-    space = randomized_svd(passages, items, weight)
+    space = randomized_svd(coded.select("codes"), items, weight)
     rows = weight[:, None] * space[np.maximum(items.feature, 0)]
     rows[0] = 0
     latent = _unit(np.stack([rows[c].sum(0) for c in items.coded]))

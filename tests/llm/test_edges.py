@@ -121,6 +121,16 @@ def test_svd_equals_the_exact_one(spark):
     assert np.linalg.svd(exact.T @ got)[1].min() > 0.99  # the same space
 
 
+def test_the_svd_sees_every_document(spark, monkeypatch):
+    """The space is fitted on all rows, repeated ones too, not on a sample."""
+    seen, real = [], decontaminate.randomized_svd
+    monkeypatch.setattr(decontaminate, "randomized_svd", lambda passages, *rest: (seen.append(passages.count()), real(passages, *rest))[1])
+    docs = spark.range(2500).selectExpr("id DIV 2 AS doc_id", "concat('the owl sat on word', id DIV 2, ' of the old oak') AS text")
+    items = spark.createDataFrame([(1, "the owl sat on word7 of the old oak")], "item_id long, text string")
+    assert 7 in {r["doc_id"] for r in decontaminate.leaks(docs, items).collect()}
+    assert seen == [2500]
+
+
 def test_short_items_leak_as_whole_lines(spark):
     docs = spark.createDataFrame([(1, "first\nTwo  words!\nlast", 9), (2, "not two words here", 9), (None, "two words", 9), (4, None, 9)], "doc_id long, text string, _leak int")
     items = spark.createDataFrame([(7, "Two words."), (8, ""), (9, None)], "item_id long, text string")
