@@ -12,9 +12,9 @@ and the labellers' measures; the scorer, calibrated on a fifth of the sample
 with both sides weighted back to their numbers, decides.  Where all documents
 are on one side, the label model's posterior decides.
 
-The toxic word lists are learned from labelled rows (about ``LEXICON_ROWS`` of
-each class): words and word starts that toxic rows have and others don't, in
-two folds for two labellers, beside a fixed seed list.
+The toxic word lists are learned from all labelled rows: words and word starts
+that toxic rows have and others don't, in two folds for two labellers, beside a
+fixed seed list.
 
 Defined cases: null, empty and short texts get no votes and so the prior,
 which keeps them; very long texts are processed whole; repeated rows get equal
@@ -30,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import fit_in_task, fit_logistic, fit_platt, hash_sample, stored, text_bytes
+from .common import fit_in_task, fit_logistic, fit_platt, stored, text_bytes
 from .features import DIM, groups, mean_weight, sparse_row, word_codes
 from .quality_rules import repeated_words
 
 TRAIN_ROWS = 2000
-LEXICON_ROWS = 1500
 LEXICON_WORDS = 400
 PREFIX = 5
 SHORT = 20
@@ -142,14 +141,18 @@ def toxic_lexicons(docs: DataFrame, labels: DataFrame) -> list[frozenset]:
     sizes = {r["_t"]: r["n"] for r in marks.groupBy("_t").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return [INSULTS, frozenset(), frozenset(), frozenset()]
-    chosen = hash_sample(marks.filter("_t"), "doc_id", LEXICON_ROWS, sizes[True]).union(hash_sample(marks.filter("not _t"), "doc_id", LEXICON_ROWS, sizes[False]))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), "_t", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
-    rows = rows.select("fold", "_t", "w", F.posexplode("w").alias("at", "x")).select("fold", "_t", "x", F.when(F.col("at") > 0, F.element_at("w", F.col("at"))).alias("prev"))
-    starts = rows.filter(F.length("x") >= PREFIX).withColumn("x", F.concat(F.substring("x", 1, PREFIX), F.lit("*")))
-    # In toxic rows a word counts once per word before it, so copies of one text don't make a toxic word.
-    table = rows.union(starts).groupBy("x", "fold").agg(F.countDistinct(F.when(F.col("_t"), F.col("prev"))).alias("t"), F.count(F.when(~F.col("_t"), F.lit(1))).alias("c")).withColumnRenamed("x", "w")
-    n_t, n_c = max(1, min(LEXICON_ROWS, sizes[True]) / 2), max(1, min(LEXICON_ROWS, sizes[False]) / 2)
-    strong = table.filter((F.length("w") > 2) & (F.col("t") >= max(4.0, 0.01 * n_t)) & (F.col("c") / n_c <= 0.01 * F.col("t") / n_t))
+    n_t, n_c = max(1, sizes[True] / 2), max(1, sizes[False] / 2)
+    split = lambda side: docs.join(marks.filter(side).select("doc_id"), "doc_id").select(F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
+    words_of = lambda rows: rows.select("h", "fold", F.explode("w").alias("x")).filter(F.length("x") > 2)
+    start = F.concat(F.substring("x", 1, PREFIX), F.lit("*"))
+    both = F.explode(F.when(F.length("x") >= PREFIX, F.array("x", start)).otherwise(F.array("x"))).alias("w")
+    # In toxic rows a word counts once per text, so copies of one text don't make a toxic word.
+    toxic = words_of(split("_t").withColumn("w", F.array_distinct("w"))).select("h", "fold", both).distinct().groupBy("w", "fold").agg(F.count("*").alias("t"))
+    toxic = stored(toxic.filter(F.col("t") >= max(4.0, 0.01 * n_t)), "toxic_candidates")
+    # Of the other rows only those are counted; a text has a bounded number of words that a hundredth of the toxic ones have.
+    clean = words_of(split("not _t")).groupBy("x", "fold").agg(F.count("*").alias("_c")).select("fold", "_c", both)
+    clean = clean.join(F.broadcast(toxic.select("w", "fold")), ["w", "fold"], "left_semi").groupBy("w", "fold").agg(F.sum("_c").alias("c"))
+    strong = toxic.join(clean, ["w", "fold"], "left").withColumn("c", F.coalesce("c", F.lit(0))).filter(F.col("c") / n_c <= 0.01 * F.col("t") / n_t)
     found = strong.orderBy(F.desc("t"), "w", "fold").limit(3 * LEXICON_WORDS).collect()  # bounded by the parameter
     words = [frozenset(r["w"].encode() for r in found if r["fold"] == fold and not r["w"].endswith("*")) for fold in (0, 1)]
     both = {r["w"] for r in found if r["fold"] == 0} & {r["w"] for r in found if r["fold"] == 1}

@@ -23,3 +23,15 @@ def test_one_class_falls_back_on_the_label_model(spark):
     rows = quality_classifier.classify(docs, labels).collect()
     assert all(r["posterior"] is not None and r["kept"] == (r["posterior"] >= 0.5) for r in rows)
     assert not any(r["kept"] for r in rows)
+
+
+def test_toxic_words_come_from_all_labelled_rows(spark):
+    """A word that all toxic and none but 2 % of the clean rows have: counts are of all rows, not of a sample."""
+    docs = spark.range(8000).selectExpr("id AS doc_id", "concat('row ', id, if(id % 2 = 0, ' says zorgling to you', if(id % 100 = 1, ' zorgling', ' nothing'))) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 2 = 0 AS int) AS toxic")
+    lexicons = quality_classifier.toxic_lexicons(docs, labels)
+    assert all(b"zorgling" not in words for words in lexicons), "found in 80 clean rows: 2 % against the 1 % allowed"
+    once = docs.selectExpr("doc_id", "if(doc_id = 7777, concat(text, repeat(' zorgling', 100)), if(doc_id % 100 = 1, 'row', text)) AS text")
+    fold = spark.range(1).selectExpr("pmod(xxhash64(7777L), 2) AS f").first()["f"]
+    lexicons = quality_classifier.toxic_lexicons(once, labels)
+    assert b"zorgling" in lexicons[2 - fold] and b"zorgling" not in lexicons[1 + fold], "the one row with it counts"
