@@ -24,6 +24,9 @@ pass through ``keep`` unchanged.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +46,8 @@ GOOD, BAD, NONE = 0, 1, 2
 # Seed list of insults; frequent words of the corpus languages.
 INSULTS = frozenset(b"idiot pathetic loser scum worthless clown disgusting moron stupid trash".split())
 FUNCTION_WORDS = frozenset("the of and to in is that for it was de la le les et des du en un une que el los y se las por der die und den von zu das mit ist ein".encode().split())
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+_BUCKETS = 1 << 20
 _STRIP = b".,;:!?\"'()[]"
 
 
@@ -135,6 +140,35 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, at: tuple[
     return post, rates
 
 
+def _word_rows(docs: DataFrame, marks: DataFrame, listed=None) -> DataFrame:
+    """(doc_id, h, w, n): how often words and word starts are in the texts of ``marks`` (all of them, or those of ``listed``).
+
+    A bounded set of hash buckets spares most other texts the reading; the texts themselves aren't shuffled.
+    """
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).cast("int")
+    near = docs.join(F.broadcast(marks.select(bucket.alias("_b")).distinct()), bucket == F.col("_b"), "left_semi")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, words, many = [], [], []
+            for k, t in enumerate(batch.column(2).to_pylist()):
+                own = Counter(x for x in _LETTERS(t.lower()) if len(x) > 2)
+                for x, n in list(own.items()):
+                    if len(x) >= PREFIX:
+                        own[x[:PREFIX] + "*"] += n
+                if listed is not None:
+                    own = {x: own[x] for x in listed.value & own.keys()}
+                at += [k] * len(own)
+                words += own.keys()
+                many += own.values()
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(words, pa.string()), pa.array(many, pa.int64())], names=["doc_id", "h", "w", "n"])
+
+    rows = near.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, w string, n long")
+    return rows.join(marks.select("doc_id"), "doc_id")
+
+
 def toxic_lexicons(docs: DataFrame, labels: DataFrame) -> list[frozenset]:
     """Seed words, words of two folds, word starts."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("_t"))
@@ -142,16 +176,13 @@ def toxic_lexicons(docs: DataFrame, labels: DataFrame) -> list[frozenset]:
     if not sizes.get(True) or not sizes.get(False):
         return [INSULTS, frozenset(), frozenset(), frozenset()]
     n_t, n_c = max(1, sizes[True] / 2), max(1, sizes[False] / 2)
-    split = lambda side: docs.join(marks.filter(side).select("doc_id"), "doc_id").select(F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
-    words_of = lambda rows: rows.select("h", "fold", F.explode("w").alias("x")).filter(F.length("x") > 2)
-    start = F.concat(F.substring("x", 1, PREFIX), F.lit("*"))
-    both = F.explode(F.when(F.length("x") >= PREFIX, F.array("x", start)).otherwise(F.array("x"))).alias("w")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")
     # In toxic rows a word counts once per text, so copies of one text don't make a toxic word.
-    toxic = words_of(split("_t").withColumn("w", F.array_distinct("w"))).select("h", "fold", both).distinct().groupBy("w", "fold").agg(F.count("*").alias("t"))
+    toxic = _word_rows(docs, marks.filter("_t")).select("h", fold, "w").distinct().groupBy("w", "fold").agg(F.count("*").alias("t"))
     toxic = stored(toxic.filter(F.col("t") >= max(4.0, 0.01 * n_t)), "toxic_candidates")
     # Of the other rows only those are counted; a text has a bounded number of words that a hundredth of the toxic ones have.
-    clean = words_of(split("not _t")).groupBy("x", "fold").agg(F.count("*").alias("_c")).select("fold", "_c", both)
-    clean = clean.join(F.broadcast(toxic.select("w", "fold")), ["w", "fold"], "left_semi").groupBy("w", "fold").agg(F.sum("_c").alias("c"))
+    listed = docs.sparkSession.sparkContext.broadcast(frozenset(r["w"] for r in toxic.select("w").distinct().collect()))
+    clean = _word_rows(docs, marks.filter("not _t"), listed).groupBy("w", fold).agg(F.sum("n").alias("c"))
     strong = toxic.join(clean, ["w", "fold"], "left").withColumn("c", F.coalesce("c", F.lit(0))).filter(F.col("c") / n_c <= 0.01 * F.col("t") / n_t)
     found = strong.orderBy(F.desc("t"), "w", "fold").limit(3 * LEXICON_WORDS).collect()  # bounded by the parameter
     words = [frozenset(r["w"].encode() for r in found if r["fold"] == fold and not r["w"].endswith("*")) for fold in (0, 1)]
