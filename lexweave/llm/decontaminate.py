@@ -60,6 +60,7 @@ ITEM_BLOCK = 20_000
 STRETCH = 16
 CELLS = 1 << 22
 WORDS_AT_ONCE = 1 << 16
+GRAM_WORDS = 1 << 12  # what a product touches stays in a core's cache
 PAIRS = 1 << 12
 #: Cells of a dense item x word table; larger ones are searched by key.
 DENSE = 1 << 24
@@ -157,12 +158,12 @@ class Layout:
         self.doc = np.repeat(np.arange(len(payloads)), blocks)  # of each block
         self.number = np.arange(self.total) - self.base[self.doc]  # of the window that starts with a block
 
-    def pieces(self):
+    def pieces(self, words: int = WORDS_AT_ONCE):
         """(first block, last block, first word, last word) of pieces of bounded size."""
         first = 0
         while first < self.total:
             low = int(np.searchsorted(self.block, first))
-            last = min(first + WORDS_AT_ONCE // STRIDE, self.total)
+            last = min(first + words // STRIDE, self.total)
             yield first, last, low, int(np.searchsorted(self.block, last + PARTS - 1))
             first = last
 
@@ -234,11 +235,11 @@ def document_frequencies(coded: DataFrame, wide: int) -> tuple[np.ndarray, int]:
 
 def _gram(block: np.ndarray, weight: np.ndarray, feature: np.ndarray, laid: Layout) -> np.ndarray:
     """A'A times ``block``, where a row of A is a window: the weights of its words, scaled to length one."""
-    out = np.zeros_like(block)
+    out, per_word = np.zeros_like(block), np.zeros((len(weight), block.shape[1]), np.float32)
     rows = weight[:, None] * block[feature]  # of each word
     rows[0] = 0
     squares = (weight**2)[:, None].astype(np.float32)
-    for first, last, low, high in laid.pieces():
+    for first, last, low, high in laid.pieces(GRAM_WORDS):
         projected = laid.sums(first, last, low, high, rows)
         size = laid.sums(first, last, low, high, squares)
         projected /= np.maximum(size, 1e-12)  # both factors have the scale
@@ -247,11 +248,11 @@ def _gram(block: np.ndarray, weight: np.ndarray, feature: np.ndarray, laid: Layo
             continue
         pad = np.zeros((PARTS - 1, projected.shape[1]), np.float32)
         back = _together(np.concatenate([pad, projected, pad]))  # of each block: its windows' sums
-        order = np.argsort(feature[laid.code[low:high]], kind="stable")
+        order = np.argsort(laid.code[low:high], kind="stable")
         code, at = laid.code[low:high][order], laid.block[low:high][order] - first
-        f = feature[code]
-        starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        out[f[starts]] += np.add.reduceat(weight[code][:, None] * back[at], starts, axis=0)
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        per_word[code[starts]] += np.add.reduceat(back[at], starts, axis=0)
+    np.add.at(out, feature, weight[:, None] * per_word)
     return out
 
 
