@@ -160,7 +160,7 @@ _ENDS = [f"e{k}" for k in range(ORDERS)]
 
 
 def _files(distinct: DataFrame) -> DataFrame:
-    """(file, id, f0...) of nodes that share a file with others.
+    """(id, files, f0...): a row for each node that shares a file with others; it has at most as many files as there are blocks.
 
     A node is filed by each block of each order of its bits, together with the
     order's extreme shingle hash.  Sets of a similarity of SIMILAR have that
@@ -198,7 +198,15 @@ def _files(distinct: DataFrame) -> DataFrame:
 
     rows = distinct.select("id", *_NAMES, *_ENDS).mapInArrow(file, "file long, id long")
     met = stored(rows.repartition("file").sortWithinPartitions("file", "id").mapInArrow(shared, "file long, id long"), "wide_files")
-    return stored(met.join(distinct.select("id", *_NAMES), "id"), "wide_members")
+    # Joins are on nodes; a row for each file is made where members meet, by tasks that nodes are dealt to evenly.
+    packed = met.groupBy("id").agg(F.collect_list("file").alias("files"))
+    return stored(packed.join(distinct.select("id", *_NAMES), "id"), "wide_members").repartition("id")
+
+
+def _by_file(members: DataFrame, *columns: str) -> DataFrame:
+    """(file, id, root, f0..., columns): members of one file follow each other in one task, in order."""
+    rows = members.select(F.explode("files").alias("file"), "id", "root", *_NAMES, *columns)
+    return rows.repartition("file").sortWithinPartitions("file", "id")
 
 
 def _proposed(members: DataFrame, radius: int, leaders_only: bool = False, nearest: int = 0) -> DataFrame:
@@ -206,8 +214,6 @@ def _proposed(members: DataFrame, radius: int, leaders_only: bool = False, neare
     is paired with the nearest of its file's leaders, the members that no earlier leader was near; with
     ``nearest`` with so many of the nearest members before it.  Where members have a sketch (column hashes),
     only pairs that may be similar by it are returned."""
-    columns = ["file", "id", "root", *_NAMES, *(["hashes"] if "hashes" in members.columns else [])]
-
     def pair(frames):
         """Runs of one file, in order; what members are compared with is carried over batch borders."""
         sketches: list[np.ndarray] = []
@@ -243,7 +249,7 @@ def _proposed(members: DataFrame, radius: int, leaders_only: bool = False, neare
                 size += 1
             yield pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
 
-    pairs = members.select(*columns).repartition("file").sortWithinPartitions("file", "id").mapInPandas(pair, "u long, v long")
+    pairs = _by_file(members, *(["hashes"] if "hashes" in members.columns else [])).mapInPandas(pair, "u long, v long")
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -277,7 +283,7 @@ def _crowded(members: DataFrame, radius: int) -> DataFrame:
                 size += 1
             yield pd.DataFrame({"id": np.array(out, np.int64)})
 
-    return members.repartition("file").sortWithinPartitions("file", "id").mapInPandas(run, "id long").distinct()
+    return _by_file(members).mapInPandas(run, "id long").distinct()
 
 
 def _sets(ids: DataFrame, distinct: DataFrame, docs: DataFrame, width: int, most: int | None = None) -> DataFrame:

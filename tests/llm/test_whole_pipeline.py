@@ -63,3 +63,17 @@ def test_files_of_unrelated_texts_stay_empty(spark):
     made = [(k, *r, 300) for k, r in enumerate(rows.tolist())]
     distinct = spark.createDataFrame(made, ", ".join(f"{c} long" for c in ["id", *names, "n_shingles"]))
     assert {r["id"] for r in simhash._files(distinct).select("id").distinct().collect()} == {0, 1}
+
+
+def test_members_are_joined_by_node(spark):
+    """Near copies share most of their files: what is joined has a row for each of them, not for each file of each."""
+    rng = np.random.default_rng(6)
+    names = [*(f"f{k}" for k in range(4)), *(f"e{k}" for k in range(8))]
+    rows = np.repeat(rng.integers(-(2**63), 2**63, (1, len(names))), 80, axis=0)
+    rows[:, 0] ^= 1 << rng.integers(0, 62, 80)
+    distinct = spark.createDataFrame([(k, *r) for k, r in enumerate(rows.tolist())], ", ".join(f"{c} long" for c in ["id", *names]))
+    got = simhash._files(distinct).collect()
+    assert sorted(r["id"] for r in got) == list(range(80))
+    assert all(120 <= len(set(r["files"])) == len(r["files"]) <= 128 for r in got)
+    pairs = simhash._proposed(simhash._files(distinct).selectExpr("*", "id AS root"), 2).collect()
+    assert len(pairs) == 80 * 79 // 2, "no pair is lost"
