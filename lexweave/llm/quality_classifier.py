@@ -39,6 +39,8 @@ from .quality_rules import repeated_words
 
 TRAIN_ROWS = 2000
 LEXICON_WORDS = 400
+#: One in so many clean rows is counted first: what is too frequent in these alone needs no further count.
+FIRST_ROWS = 16
 PREFIX = 5
 SHORT = 20
 KEEP = 0.5
@@ -141,9 +143,10 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, at: tuple[
 
 
 def _word_rows(docs: DataFrame, marks: DataFrame, listed=None) -> DataFrame:
-    """(doc_id, h, w, n): how often words and word starts are in the texts of ``marks`` (all of them, or those of ``listed``).
+    """(doc_id, h, w, n): the words and word starts of each text of ``marks`` and how often they are in it.
 
-    A bounded set of hash buckets spares most other texts the reading; the texts themselves aren't shuffled.
+    Of all words, or of those of ``listed``; texts without any give no row.  A bounded set of hash buckets spares
+    most other texts the reading; the texts themselves aren't shuffled, and words go in one row a text.
     """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).cast("int")
     near = docs.join(F.broadcast(marks.select(bucket.alias("_b")).distinct()), bucket == F.col("_b"), "left_semi")
@@ -151,7 +154,7 @@ def _word_rows(docs: DataFrame, marks: DataFrame, listed=None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            at, words, many = [], [], []
+            at, words, many, ends = [], [], [], [0]
             for k, t in enumerate(batch.column(2).to_pylist()):
                 own = Counter(x for x in _LETTERS(t.lower()) if len(x) > 2)
                 for x, n in list(own.items()):
@@ -159,13 +162,16 @@ def _word_rows(docs: DataFrame, marks: DataFrame, listed=None) -> DataFrame:
                         own[x[:PREFIX] + "*"] += n
                 if listed is not None:
                     own = {x: own[x] for x in listed.value & own.keys()}
-                at += [k] * len(own)
-                words += own.keys()
-                many += own.values()
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(words, pa.string()), pa.array(many, pa.int64())], names=["doc_id", "h", "w", "n"])
-
-    rows = near.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, w string, n long")
+                if own:
+                    at.append(k)
+                    words += own.keys()
+                    many += own.values()
+                    ends.append(len(words))
+            take, ends = pa.array(at, pa.int64()), pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((words, pa.string()), (many, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], names=["doc_id", "h", "w", "n"])
+
+    rows = near.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, w array<string>, n array<long>")
     return rows.join(marks.select("doc_id"), "doc_id")
 
 
@@ -178,12 +184,18 @@ def toxic_lexicons(docs: DataFrame, labels: DataFrame) -> list[frozenset]:
     n_t, n_c = max(1, sizes[True] / 2), max(1, sizes[False] / 2)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold")
     # In toxic rows a word counts once per text, so copies of one text don't make a toxic word.
-    toxic = _word_rows(docs, marks.filter("_t")).select("h", fold, "w").distinct().groupBy("w", "fold").agg(F.count("*").alias("t"))
-    toxic = stored(toxic.filter(F.col("t") >= max(4.0, 0.01 * n_t)), "toxic_candidates")
-    # Of the other rows only those are counted; a text has a bounded number of words that a hundredth of the toxic ones have.
-    listed = docs.sparkSession.sparkContext.broadcast(frozenset(r["w"] for r in toxic.select("w").distinct().collect()))
-    clean = _word_rows(docs, marks.filter("not _t"), listed).groupBy("w", fold).agg(F.sum("n").alias("c"))
-    strong = toxic.join(clean, ["w", "fold"], "left").withColumn("c", F.coalesce("c", F.lit(0))).filter(F.col("c") / n_c <= 0.01 * F.col("t") / n_t)
+    texts = _word_rows(docs, marks.filter("_t")).select("h", fold, "w").groupBy("h", "fold").agg(F.first("w").alias("w"))
+    toxic = texts.select("fold", F.explode("w").alias("w")).groupBy("w", "fold").agg(F.count("*").alias("t"))
+    strong = stored(toxic.filter(F.col("t") >= max(4.0, 0.01 * n_t)), "toxic_candidates")
+    # Counts only grow with the rows: a word that is too frequent in a part of the clean rows is so in all of them.
+    # So few words are left for the count of all; a text has a bounded number of words that a hundredth of the toxic ones have.
+    clean = marks.filter("not _t")
+    for part in (clean.filter(F.pmod(F.xxhash64("doc_id", F.lit("first")), F.lit(FIRST_ROWS)) == 0), clean):
+        listed = docs.sparkSession.sparkContext.broadcast(frozenset(r["w"] for r in strong.select("w").distinct().collect()))
+        rows = _word_rows(docs, part, listed).select(fold, F.explode(F.arrays_zip("w", "n")).alias("x"))
+        counted = rows.groupBy(F.col("x.w").alias("w"), "fold").agg(F.sum("x.n").alias("c"))
+        strong = strong.select("w", "fold", "t").join(counted, ["w", "fold"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        strong = stored(strong.filter(F.col("c") / n_c <= 0.01 * F.col("t") / n_t), "toxic_words")
     found = strong.orderBy(F.desc("t"), "w", "fold").limit(3 * LEXICON_WORDS).collect()  # bounded by the parameter
     words = [frozenset(r["w"].encode() for r in found if r["fold"] == fold and not r["w"].endswith("*")) for fold in (0, 1)]
     both = {r["w"] for r in found if r["fold"] == 0} & {r["w"] for r in found if r["fold"] == 1}

@@ -35,3 +35,22 @@ def test_toxic_words_come_from_all_labelled_rows(spark):
     fold = spark.range(1).selectExpr("pmod(xxhash64(7777L), 2) AS f").first()["f"]
     lexicons = quality_classifier.toxic_lexicons(once, labels)
     assert b"zorgling" in lexicons[2 - fold] and b"zorgling" not in lexicons[1 + fold], "the one row with it counts"
+
+
+def test_words_are_joined_by_text(spark, monkeypatch):
+    """Words go in one row a text, and of the clean rows only words are counted that a part of them hasn't shown to be common."""
+    made = []
+
+    def seen(docs, marks, listed=None, real=quality_classifier._word_rows):
+        rows = real(docs, marks, listed)
+        made.append((None if listed is None else set(listed.value), rows.count()))
+        return rows
+
+    monkeypatch.setattr(quality_classifier, "_word_rows", seen)
+    common = " ".join(f"{a}{b}mon" for a in "abcdefgh" for b in "abcdefgh")
+    docs = spark.range(4000).selectExpr("id AS doc_id", f"concat('{common} row', if(id % 10 = 0, concat(' zorgling ', translate(id, '0123456789', 'abcdefghij')), if(id = 5, ' zorgling', ''))) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 10 = 0 AS int) AS toxic")
+    lexicons = quality_classifier.toxic_lexicons(docs, labels)
+    assert all({b"zorgling"} == words for words in lexicons[1:3]) and lexicons[3] == {b"zorgl"}
+    assert made[0] == (None, 400), "a row for each toxic text"
+    assert len(made[1][0]) > 60 and made[-1] == ({"zorgling", "zorgl*"}, 1), "all clean rows are counted; one has a word that is left"
