@@ -135,15 +135,18 @@ HOT_SHARE = 1 / 400
 SALTS = 64
 
 
-def join_by_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], count: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``per_key``, which has one row per key and the number of ``rows`` of that key.
 
+    ``total``, where it is known, is the number of ``rows`` or a little more; else they are counted.
+
     Hot keys are spread over ``SALTS`` sub-keys: their rows get a random-looking
     salt and their one row on the other side is repeated.  The list of hot keys
     is bounded by ``1 / HOT_SHARE``, so it may be broadcast.
     """
     key = [key] if isinstance(key, str) else key
-    total = per_key.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = per_key.agg(F.sum(count)).first()[0] or 0
     if total == 0:
         return rows.join(per_key.drop(count), key, how)
     least = max(int(total * HOT_SHARE), 64)

@@ -15,20 +15,21 @@ from .common import discard, join_by_key, stored
 MAX_ROUNDS = 60
 
 
-def _linked(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with ``m``, the smallest of u and its neighbours in ``pairs``."""
+def _linked(pairs: DataFrame, total: int | None) -> DataFrame:
+    """Each (u, v) with ``m``, the smallest of u and its neighbours in ``pairs``, of which there are ``total`` at most."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("u", "m"))
-    return join_by_key(pairs, least, "u", "_n")
+    return join_by_key(pairs, least, "u", "_n", total=total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """``n``: the number of edges, if it is known; as many are returned at most."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _linked(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _linked(both, None if n is None else 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int | None = None) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    met = _linked(down).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met = _linked(down, n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return met.union(down.groupBy("u").agg(F.min("v").alias("v")))
 
 
@@ -45,8 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         if new[0] == 0 or new == mark:
             break
         mark = new
-        large = stored(_large_star(now).distinct(), "large_star")
-        before, now = now, stored(_small_star(large).distinct(), "small_star")
+        large = stored(_large_star(now, new[0]).distinct(), "large_star")
+        before, now = now, stored(_small_star(large, new[0]).distinct(), "small_star")
         for done in (before, large):  # what a lost executor had is read from the table of this round
             discard(edges.sparkSession, done.stored_at)
     else:

@@ -247,10 +247,12 @@ def _proposed(members: DataFrame, radius: int, leaders_only: bool = False, neare
                     seen, ids, roots = np.concatenate([seen, seen]), np.concatenate([ids, ids]), np.concatenate([roots, roots])
                 seen[size], ids[size], roots[size] = fp[j], own[j], root[j]
                 size += 1
-            yield pd.DataFrame({"u": np.array(out_u, np.int64), "v": np.array(out_v, np.int64)})
+            met = np.array([out_u, out_v], np.int64)
+            met = np.unique(np.sort(met, axis=0), axis=1) if met.size else met  # a pair that meets in several files of a batch goes out once
+            yield pd.DataFrame({"u": met[1], "v": met[0]})
 
     pairs = _by_file(members, *(["hashes"] if "hashes" in members.columns else [])).mapInPandas(pair, "u long, v long")
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return pairs.distinct()
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray) -> bool:

@@ -77,3 +77,24 @@ def test_members_are_joined_by_node(spark):
     assert all(120 <= len(set(r["files"])) == len(r["files"]) <= 128 for r in got)
     pairs = simhash._proposed(simhash._files(distinct).selectExpr("*", "id AS root"), 2).collect()
     assert len(pairs) == 80 * 79 // 2, "no pair is lost"
+
+
+def test_pairs_of_many_files_go_out_once(spark, monkeypatch):
+    """A pair meets in a hundred files and more; tasks don't hand it on from each of them."""
+    made = []
+    real = type(spark.range(0)).mapInPandas
+
+    def counted(self, run, schema):
+        out = real(self, run, schema)
+        made.append(out.count())
+        return out
+
+    rng = np.random.default_rng(7)
+    names = [*(f"f{k}" for k in range(4)), *(f"e{k}" for k in range(8))]
+    rows = np.repeat(rng.integers(-(2**63), 2**63, (1, len(names))), 12, axis=0)
+    rows[:, 0] ^= 1 << rng.integers(0, 62, 12)
+    distinct = spark.createDataFrame([(k, *r) for k, r in enumerate(rows.tolist())], ", ".join(f"{c} long" for c in ["id", *names]))
+    members = simhash._files(distinct).selectExpr("*", "id AS root")
+    monkeypatch.setattr(type(spark.range(0)), "mapInPandas", counted)
+    assert len(simhash._proposed(members, 2).collect()) == 12 * 11 // 2
+    assert made[0] <= 4 * 12 * 11 // 2, "once a task at most: there are four"
